@@ -142,11 +142,13 @@ def _posterior(seen: DataFrame) -> Column:
 
 
 def rated(docs: DataFrame) -> DataFrame:
-    """docs with ``_q`` (its counts) and ``_p``, the posterior probability of being good. Other columns stay.
+    """docs with ``_q`` (its counts), ``_p``, the posterior probability of being good, and the verdict ``_keep``.
 
-    It reads the texts twice, once for the estimates, and moves no row.
+    Other columns stay. It reads the texts twice, once for the estimates, and moves no row. The verdict
+    names the partition, so that a filter on it isn't rewritten into many copies of the counts.
     """
-    return statistics(docs).withColumn("_p", _posterior(statistics(docs.select("text")).select("_q")))
+    frame = statistics(docs).withColumn("_p", _posterior(statistics(docs.select("text")).select("_q")))
+    return frame.withColumn("_keep", keep() & (F.spark_partition_id() >= 0))
 
 
 def report(docs: DataFrame) -> DataFrame:
