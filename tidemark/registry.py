@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES: tuple = ()
+from .plans import named
+
+_MODULES = (named,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
