@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 #: Parts and pre-tokens that a Python worker remembers in each of two generations (about 200 bytes each).
-PARTS, WORDS = 450_000, 50_000
+PARTS, WORDS = 250_000, 50_000
 #: Token pairs whose compatibility a worker remembers.
 PAIRS = 400_000
 
@@ -284,7 +284,7 @@ def decoded(encoded: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     kept = encoded.select(key, "ids")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, Cutter)  # decoding has a Python process of its own; it needs no automaton
         for batch in batches:
             texts = [coder.decode(value or b"") for value in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], [key, "text"])
@@ -297,7 +297,7 @@ def round_trip(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     kept = with_ids(docs, path, key=key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = encoder(path)
+        coder = encoder(path, Cutter)  # decoding has a Python process of its own; it needs no automaton
         for batch in batches:
             packed = batch.column(1).to_pylist()
             yield pa.RecordBatch.from_arrays(
