@@ -25,69 +25,82 @@ NODES = 250_000
 
 
 class TrieCounter(Cutter):
-    """Counts pieces of texts; parts remember (pre-tokens, tokens)."""
+    """Counts pieces of texts; parts remember one number, (pre-tokens << 32) + tokens, so that they can be summed."""
 
     def __init__(self, path: str):
         import regex
 
         super().__init__(path)
         harmonic = sum(1 / (r + 1) for r in range(len(self.bytes_of)))
-        self.score = {self.bytes_of[number]: -math.log(harmonic * (number + 1)) for number in self.plain.values()}
-        self.longest = max(map(len, self.score))
+        # every end of a piece, with its score if it is a piece itself, else 0
+        self.tails = {tail: 0.0 for number in self.plain.values() for piece in (self.bytes_of[number],) for tail in (piece[i:] for i in range(1, len(piece)))}
+        self.tails |= {self.bytes_of[number]: -math.log(harmonic * (number + 1)) for number in self.plain.values()}
         self.pattern = regex.compile(PATTERN)
-        self.root: list = [{}, 0.0, 0]
-        self.nodes = 0
         self.words = Remembered(self._count, 50_000)
+        self._clear()
+
+    def _clear(self) -> None:
+        """An empty trie: node numbers by (node << 8) + byte, and the best score and count of each node."""
+        self.below: dict[int, int] = {}
+        self.best, self.pieces = [0.0], [0]
 
     def _count(self, pretoken: str) -> int:
         """Pieces of one pre-token: walks the trie, making and scoring the nodes that are not there yet."""
-        if self.nodes >= NODES:
-            self.root, self.nodes = [{}, 0.0, 0], 0
-        text, score = pretoken.encode(), self.score.get
-        path = [self.root]
-        node = self.root
-        for end, byte in enumerate(text, 1):
-            below = node[0].get(byte)
-            if below is None:
-                best, count = -math.inf, 0
-                for begin in range(max(0, end - self.longest), end):
-                    one = score(text[begin:end])
-                    if one is not None:
-                        before = path[begin]
-                        z = before[1] + one
-                        if z > best or z == best and before[2] + 1 < count:
-                            best, count = z, before[2] + 1
-                below = node[0][byte] = [{}, best, count]
-                self.nodes += 1
-            path.append(below)
-            node = below
-        return node[2]
-
-    def _plain(self, text: str) -> tuple[int, int]:
+        if len(self.best) >= NODES:
+            self._clear()
+        text, below, node, path = pretoken.encode(), self.below.get, 0, [0]
+        for byte in text:
+            after = below(node << 8 | byte)
+            if after is None:
+                break
+            node = after
+            path.append(node)
+        else:
+            return self.pieces[node]
+        score = self.tails.get
+        scores, counts = [self.best[x] for x in path], [self.pieces[x] for x in path]
+        for end in range(len(path), len(text) + 1):
+            best, count = -math.inf, 0
+            for begin in range(end - 1, -1, -1):
+                one = score(text[begin:end])
+                if one is None:  # no longer piece ends like this
+                    break
+                if one:
+                    z = scores[begin] + one
+                    if z > best or z == best and counts[begin] + 1 < count:
+                        best, count = z, counts[begin] + 1
+            scores.append(best)
+            counts.append(count)
+            self.below[node << 8 | text[end - 1]] = node = len(self.best)
+            self.best.append(best)
+            self.pieces.append(count)
+        return count
+
+    def _plain(self, text: str) -> int:
         found = self.pattern.findall(text)
-        return len(found), sum(map(self.words.__getitem__, found))
+        return (len(found) << 32) + sum(map(self.words.__getitem__, found))
 
-    def _word(self, part: str) -> tuple[int, int]:
-        return 1, self._count(part)
+    def _word(self, part: str) -> int:
+        return (1 << 32) + self._count(part)
 
     def counts(self, text: str | None) -> tuple[int, int]:
         """(pre-tokens, tokens) of a whole text; a special token in it is one of each."""
         if not text:
             return 0, 0
         if self.cut is not None and any(token in text for token in self.special):
-            pairs = [(1, 1) if piece in self.special else self._segment(piece) for piece in self.cut.split(text) if piece]
-            return sum(a for a, _ in pairs), sum(b for _, b in pairs)
-        return self._segment(text)
+            both = sum((1 << 32) + 1 if piece in self.special else self._segment(piece) for piece in self.cut.split(text) if piece)
+        else:
+            both = self._segment(text)
+        return both >> 32, both & 0xFFFFFFFF
 
-    def _segment(self, text: str) -> tuple[int, int]:
+    def _segment(self, text: str) -> int:
         keys = self._keys(text)
         if keys is None:
             return self._plain(text)
-        pairs = list(map(self.parts.__getitem__, keys))
-        if None in pairs:
+        try:
+            return sum(map(self.parts.__getitem__, keys))
+        except TypeError:  # a None
             return self._plain(text)
-        words, tokens = zip(*pairs)
-        return sum(words), sum(tokens)
 
 
 def token_counts(docs: DataFrame, path: str) -> DataFrame:
