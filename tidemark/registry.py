@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import named
+from .plans import built, named
 
-_MODULES = (named,)
+_MODULES = (named, built)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
