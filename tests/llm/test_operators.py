@@ -7,6 +7,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import bpe, chat, langid, linededup, neardup, packing, quality, tokencount, topk, toxicity
 from tidemark.llm.queries import vocabulary
@@ -230,3 +231,37 @@ def test_top_k_equals_brute_force(spark):
         want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(order)]
     assert got == sorted(want)
     assert topk.top_k(frame.limit(0)).count() == 0
+
+
+def test_bucket_blocks_find_what_one_block_finds(spark, monkeypatch):
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join("x%d" % n if i == n or i == (n * 7) % 60 else w for i, w in enumerate(words)) for n in range(24)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    classes = neardup.signed(docs, 2).withColumnRenamed("doc_id", "id")
+    buckets = neardup.keys(classes).withColumn("component", F.col("id"))
+
+    def found(block):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        rows = neardup._between(buckets, classes.select("id", "signature"), docs, 2, 80).collect()
+        assert len({(r["a"], r["b"]) for r in rows}) == len(rows)
+        return {frozenset((r["a"], r["b"])) for r in rows}
+
+    one = found(2048)
+    assert found(5) == one and one
+    sets = [{(a, b) for a, b in zip(t.split(), t.split()[1:])} for t in texts]
+    true = {frozenset((i, j)) for i in range(24) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])}
+    assert true <= one
+
+
+def test_sketch_loses_no_similar_set():
+    random = np.random.default_rng(3)
+    for _ in range(100):
+        union = np.unique(random.integers(0, 2**64, int(random.integers(5, 6000)), dtype=np.uint64))
+        random.shuffle(union)
+        common = int(np.ceil(0.8 * len(union)))
+        half = (len(union) - common) // 2
+        sides = np.sort(union[: common + half]), np.sort(np.concatenate([union[:common], union[common + half :]]))
+        x, y = (np.frombuffer(neardup.sketch(side), np.uint32) for side in sides)
+        assert neardup.likely(x, y, 80)
+    few = [np.frombuffer(neardup.sketch(np.sort(random.integers(0, 2**64, 300, dtype=np.uint64))), np.uint32) for _ in range(2)]
+    assert not neardup.likely(*few, 80)

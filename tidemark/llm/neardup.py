@@ -11,7 +11,8 @@ place left out, and such a pair shares a key for certain. At a similarity of 0.8
 No bucket is ever expanded into its pairs. Rounds link bucket members to one pivot of the bucket (the least
 class first, then the greatest), confirm the links on the full sets, and join components. Only buckets
 that still hold several components are then compared inside, between components alone, in blocks of
-signatures; what is close enough is confirmed likewise. A pair within one component needs no check.
+signatures and of sketches of the sets; what may be linked is confirmed likewise. A pair within one component
+needs no check.
 
 Repeated rows of one id count as one document with all their sets; null ids are left out of linking.
 """
@@ -19,7 +20,8 @@ Repeated rows of one id count as one document with all their sets; null ids are
 from __future__ import annotations
 
 import itertools
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -34,6 +36,8 @@ CHUNKS, SYMBOLS, ERRORS = 9, 6, 1
 #: Differing places beyond which two signatures are not compared in full (4.5 standard errors above the mean at 0.8).
 FAR = 24
 PERCENT = 80
+#: Shingles up to which a sketch holds the whole set, and members of one bucket that are compared in one block.
+SKETCH, BLOCK = 512, 2048
 #: Bits of the fixed-size filter of the documents whose sets are needed (2 MB).
 FILTER_BITS = 24
 _LEFT_OUT = [left for left in itertools.combinations(range(SYMBOLS), ERRORS)]
@@ -95,6 +99,16 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
     return kept.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
 
 
+def _chunk_keys(symbols: np.ndarray, number: int) -> np.ndarray:
+    """(n, CHUNKS) keys of signatures (n, CHUNKS, SYMBOLS) for the number-th choice of places left out."""
+    start = np.uint64(number + 1) + np.arange(CHUNKS, dtype=np.uint64) * np.uint64(len(_LEFT_OUT))
+    key = np.repeat(start[None, :], len(symbols), 0)
+    for place in range(SYMBOLS):
+        if place not in _LEFT_OUT[number]:
+            key = _mixed(key * _M + symbols[:, :, place])
+    return key.view(np.int64)
+
+
 def keys(classes: DataFrame) -> DataFrame:
     """(key, id): a key for every chunk and every choice of places left out."""
 
@@ -104,21 +118,38 @@ def keys(classes: DataFrame) -> DataFrame:
                 part = batch.slice(i, 4096)
                 ids = part.column(0).to_numpy()
                 symbols = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint16).reshape(len(ids), CHUNKS, SYMBOLS).astype(np.uint64)
-                for number, left in enumerate(_LEFT_OUT):
-                    key = np.full((len(ids), CHUNKS), np.uint64(number + 1)) + np.arange(CHUNKS, dtype=np.uint64)[None, :] * np.uint64(len(_LEFT_OUT))
-                    for place in range(SYMBOLS):
-                        if place not in left:
-                            key = _mixed(key * _M + symbols[:, :, place])
-                    yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64).ravel()), pa.array(np.repeat(ids, CHUNKS))], ["key", "id"])
+                for number in range(len(_LEFT_OUT)):
+                    yield pa.RecordBatch.from_arrays([pa.array(_chunk_keys(symbols, number).ravel()), pa.array(np.repeat(ids, CHUNKS))], ["key", "id"])
 
     return classes.select("id", "signature").mapInArrow(run, "key long, id long")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("id"))
+def sketch(numbers: np.ndarray) -> bytes:
+    """Set size and the upper halves of the least numbers, as 32-bit integers: whole sets up to SKETCH, else a share 2 ** -t of them."""
+    kept = np.unique((numbers[: np.searchsorted(numbers, np.uint64((1 << 64 >> _cut(len(numbers))) - 1), "right")] >> np.uint64(32)).astype(np.uint32))
+    return np.concatenate([np.array([len(numbers)], np.uint32), kept]).tobytes()
+
+
+def _cut(size: int) -> int:
+    return max(0, math.ceil(math.log2(max(size, 1) / SKETCH)))
+
+
+def likely(x: np.ndarray, y: np.ndarray, percent: int, spread: float = 5.0) -> bool:
+    """Whether two sketches allow a similarity of percent: exact but for two hash collisions if no set is cut, else by `spread` standard errors."""
+    t = max(_cut(int(x[0])), _cut(int(y[0])))
+    x, y = x[1:], y[1:]
+    if t:
+        top = np.uint32((1 << 32 >> t) - 1)
+        x, y = x[: np.searchsorted(x, top, "right")], y[: np.searchsorted(y, top, "right")]
+    common = len(np.intersect1d(x, y, assume_unique=True))
+    union, share = len(x) + len(y) - common, percent / 100
+    return common + 2 >= share * union - (spread * math.sqrt(share * (1 - share) * union) if t else 0)
+
+
+def sets_of(ids: DataFrame, docs: DataFrame, width: int, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(id, set): make(shingle numbers) of the documents of ids (id), and perhaps of a few others."""
     spot = F.pmod(F.xxhash64("id"), F.lit(1 << FILTER_BITS))
-    maps = ends.select(F.bitmap_bucket_number(spot).alias("n"), F.bitmap_bit_position(spot).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
+    maps = ids.select(F.bitmap_bucket_number(spot).alias("n"), F.bitmap_bit_position(spot).alias("p")).groupBy("n").agg(F.bitmap_construct_agg("p").alias("bits")).collect()
     filter_ = {row["n"]: bytes(row["bits"]) for row in maps}  # at most 2 ** FILTER_BITS bits
     shared = docs.sparkSession.sparkContext.broadcast(filter_)
 
@@ -128,11 +159,16 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
             buckets, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             hit = [n in bits and bool(bits[n][p >> 3] >> (p & 7) & 1) for n, p in zip(buckets, places)]
             held = batch.filter(pa.array(hit, pa.bool_()))
-            sets = [shingles(text, width, numbers).tobytes() for text in held.column(1).to_pylist()]
+            sets = [make(shingles(text, width, numbers)) for text in held.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([held.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
     spots = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    sets = spots.select("id", "text", F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)).mapInArrow(needed, "id long, set binary")
+    return spots.select("id", "text", F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)).mapInArrow(needed, "id long, set binary")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Those of the pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")), docs, width, np.ndarray.tobytes)
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,32 +199,59 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def _between(buckets: DataFrame, signatures: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket with near signatures; buckets: (key, id, component)."""
-    rows = buckets.join(signatures, "id").select("key", "id", "component", "signature").repartition("key").sortWithinPartitions("key", "id")
+def _between(buckets: DataFrame, signatures: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of different components in one bucket whose sketches allow a link; buckets: (key, id, component).
+
+    A bucket's members are dealt into blocks, and blocks meet in pairs, so a task never holds more than about
+    two BLOCKs of one bucket. Of the buckets a pair shares it is looked at in one: that of the first chunk with
+    at most one differing place, leaving out that place (the first, if none differs).
+    """
+    known = checkpointed(buckets)
+    sketches = sets_of(known.select("id").distinct(), docs, width, sketch).groupBy("id").agg(F.collect_set("set").alias("sets"))
+    blocks = known.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
+    rows = known.join(blocks, "key").withColumn("mine", mine).join(signatures, "id").join(sketches, "id")
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("key", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "id", "component", "signature", "sets")
+    rows = rows.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
+
+    def pairs(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(group)
+        block, ids, of = (table.column(name).to_numpy() for name in ("mine", "id", "component"))
+        symbols = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), CHUNKS, SYMBOLS)
+        here = table.column("key")[0].as_py()
+        left, chunk = np.argwhere(np.concatenate([_chunk_keys(symbols[:1].astype(np.uint64), number) for number in range(len(_LEFT_OUT))]) == here)[0]
+        sets = [[np.frombuffer(value, np.uint32) for value in several] for several in table.column("sets").to_pylist()]
+        least = np.array([min(int(x[0]) for x in several) for several in sets])
+        most = np.array([max(int(x[0]) for x in several) for several in sets])
+        across = table.column("x")[0].as_py() != table.column("y")[0].as_py()
+        for i in range(len(ids) - 1):
+            rest = np.arange(i + 1, len(ids))
+            fits = (of[rest] != of[i]) & (100 * most[rest] >= percent * least[i]) & (100 * most[i] >= percent * least[rest])
+            if across:
+                fits &= block[rest] != block[i]
+            rest = rest[fits]
+            differ = (symbols[rest] != symbols[i]).sum(2)
+            near = (differ.sum(1) <= FAR) & ((differ <= ERRORS).argmax(1) == chunk) & ((differ[:, chunk] > 0) | (left == 0))
+            hit = [j for j in rest[near] if any(likely(x, y, percent) for x in sets[i] for y in sets[j])]
+            if hit:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hit), ids[i])), pa.array(ids[hit])], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pairs(group: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            table = pa.Table.from_batches(group)
-            ids, of = table.column("id").to_numpy(), table.column("component").to_numpy()
-            symbols = np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint16).reshape(len(ids), -1)
-            for i in range(len(ids) - 1):
-                for j in range(i + 1, len(ids), 65536):
-                    other = slice(j, j + 65536)
-                    near = np.flatnonzero((of[other] != of[i]) & ((symbols[other] != symbols[i]).sum(1) <= FAR)) + j
-                    if len(near):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), ids[i])), pa.array(ids[near])], ["a", "b"])
-
         held: list[pa.RecordBatch] = []
+        last = None
         for batch in batches:
-            column = batch.column(0).to_numpy()
-            cuts = [0, *(np.flatnonzero(column[1:] != column[:-1]) + 1).tolist(), len(column)]
+            columns = [batch.column(i).to_numpy() for i in range(3)]
+            changes = np.flatnonzero(np.any([c[1:] != c[:-1] for c in columns], axis=0)) + 1
+            cuts = [0, *changes.tolist(), batch.num_rows]
             for begin, end in zip(cuts[:-1], cuts[1:]):
                 if begin == end:
                     continue
-                if held and held[0].column(0)[0].as_py() != int(column[begin]):
+                now = tuple(int(c[begin]) for c in columns)
+                if held and now != last:
                     yield from pairs(held)
                     held = []
+                last = now
                 held.append(batch.slice(begin, end - begin))
         if held:
             yield from pairs(held)
@@ -224,8 +287,7 @@ def grouped(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFram
     again = checkpointed(again.join(tested, ["a", "b"], "left_anti"))
     links = checkpointed(links.union(confirmed(again, known, width, percent)))
     labels = components(links)
-    last = _between(unresolved(labels).select("key", "id", "component"), signatures)
-    last = checkpointed(last.join(tested.union(again), ["a", "b"], "left_anti"))
+    last = checkpointed(_between(unresolved(labels).select("key", "id", "component"), signatures, known, width, percent))
     found = checkpointed(confirmed(last, known, width, percent))
     if found.limit(1).count():
         links = checkpointed(links.union(found))
