@@ -75,6 +75,9 @@ SELECT f.subject, f.metric, f.slot, f.direction, f.n_docs, round(abs(f.delta - s
              + 0.10 / (1 + row_number() OVER (PARTITION BY f.subject ORDER BY f.slot) - 1) + 0.10 * greatest(0, 1 - (8006 - f.slot) / 32.0)
              - CASE WHEN f.n_docs = 1 THEN 0.20 ELSE 0 END, 6) AS score
 FROM fired f JOIN spread s ON f.subject = s.subject AND f.metric = s.metric WHERE s.n >= 8 AND s.sigma > 0""",
+    # sets of parts: a row per nation and part that its customers ordered, with the size of the nation's set
+    "segment_part": """
+SELECT c, p, count(*) OVER (PARTITION BY c) AS n FROM (SELECT DISTINCT c_nationkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) x""",
     # a property graph over the tables
     "node": """
 SELECT 'Region' AS label, 'r:' || CAST(r_regionkey AS STRING) AS key, r_name AS name FROM region
@@ -99,6 +102,7 @@ SELECT * FROM (VALUES ('license', 'apache license'), ('license', 'mit license'),
     "is_a": "SELECT * FROM (VALUES ('quarter', 'period'), ('fiscal_year', 'period'), ('period', 'time'), ('time', 'thing'), ('issuer', 'party'), ('party', 'thing')) AS t(child, parent)",
 }
 
+
 QUERIES: dict[str, str] = {
     # C, Q03: series and canonical points
     "metric_history": "SELECT subject, period_key, slot, value, status FROM point WHERE slot >= 7984 AND slot < 8000",
@@ -121,10 +125,8 @@ WINDOW w AS (PARTITION BY subject)) p WHERE n >= 8 AND s > 0 AND abs(gap - m) /
     "candidate_scores": "SELECT subject, slot, direction, z, units, score FROM scored",
     "ranked_candidates": """SELECT subject, slot, score, row_number() OVER (ORDER BY score DESC, subject, slot) AS place, dense_rank() OVER (ORDER BY top DESC, subject) AS cluster_rank
 FROM (SELECT *, max(score) OVER (PARTITION BY subject) AS top FROM scored) t""",
-    "repetition_cosine": """SELECT a.c AS left_segment, b.c AS right_segment, round(count(*) / sqrt(max(a.n) * max(b.n)), 6) AS cosine FROM
-(SELECT c, p, count(*) OVER (PARTITION BY c) AS n FROM (SELECT DISTINCT c_nationkey AS c, l_partkey % 500 AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) x) a
-JOIN (SELECT c, p, count(*) OVER (PARTITION BY c) AS n FROM (SELECT DISTINCT c_nationkey AS c, l_partkey % 500 AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) y) b
-ON a.p = b.p AND a.c < b.c GROUP BY a.c, b.c""",
+    "repetition_cosine": """SELECT a.c AS left_segment, b.c AS right_segment, round(count(*) / sqrt(max(a.n) * max(b.n)), 6) AS cosine
+FROM segment_part a JOIN segment_part b ON a.p = b.p AND a.c < b.c GROUP BY a.c, b.c""",
     # O: vocabulary
     "formula_as_of": """SELECT v.version, count(*) AS n_orders, sum(CASE WHEN v.valid_to IS NULL THEN 1 ELSE 0 END) AS n_open FROM orders o JOIN formula v
 ON CAST(o.o_orderdate AS DATE) BETWEEN v.valid_from AND coalesce(v.valid_to, DATE '9999-12-31') GROUP BY v.version""",
