@@ -52,3 +52,16 @@ def test_repetition_cosine_keeps_parts_apart(folder):
     })
     want = {(a, b): round(len(sets[a] & sets[b]) / math.sqrt(len(sets[a]) * len(sets[b])), 6) for a, b in itertools.combinations(sets, 2) if sets[a] & sets[b]}
     assert {(r["left_segment"], r["right_segment"]): r["cosine"] for r in rows} == want
+
+
+def test_metric_history_has_no_bounds_of_its_own(folder):
+    tables = series({1: {at: 1_000_000 + at for at in range(0, 60, 3)}})
+    assert sorted(r["slot"] for r in folder("metric_history", tables)) == [7960 + at for at in range(0, 60, 3)]
+    assert sorted(r["slot"] for r in folder("metric_history", {}, since=7963, until=7969)) == [7963, 7966, 7969]
+    assert sorted(r["slot"] for r in folder("metric_history", {}, until=7963)) == [7960, 7963]
+
+
+def test_fact_evidence_of_every_line(folder):
+    tables = series({1: {at: 5 for at in range(60)}, 2: {7: 5}})
+    rows = folder("fact_evidence", tables)
+    assert sorted((r["l_orderkey"], r["n_name"], r["r_name"]) for r in rows) == [(k, "N1" if k < 60 else "N2", "R") for k in range(61)]

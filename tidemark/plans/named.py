@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..sources.tables import run_sql
 from .portable import QUERIES as _TEXTS
 from .portable import compose
+from .portable import metric_history as _history
 
 
 def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +22,9 @@ def _other(sql: str) -> str:
     return sql.replace("LEFT ANTI JOIN", "ANTI JOIN")
 
 
-QUERIES = {name: partial(_run, compose(text)) for name, text in _TEXTS.items()}
+def metric_history(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
+    return _run(compose(_history(since, until)), spark, sf_dir)
+
+
+QUERIES = {name: partial(_run, compose(text)) for name, text in _TEXTS.items()} | {"metric_history": metric_history}
 ORACLES = {name: _other(compose(text)) for name, text in _TEXTS.items()}

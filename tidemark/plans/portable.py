@@ -103,9 +103,15 @@ SELECT * FROM (VALUES ('license', 'apache license'), ('license', 'mit license'),
 }
 
 
+def metric_history(since: int | None = None, until: int | None = None) -> str:
+    """Points from slot `since` to slot `until`, both included; None is no bound."""
+    bounds = [f"slot {sign} {slot:d}" for sign, slot in ((">=", since), ("<=", until)) if slot is not None]
+    return "SELECT subject, period_key, slot, value, status FROM point" + (f" WHERE {' AND '.join(bounds)}" if bounds else "")
+
+
 QUERIES: dict[str, str] = {
     # C, Q03: series and canonical points
-    "metric_history": "SELECT subject, period_key, slot, value, status FROM point WHERE slot >= 7984 AND slot < 8000",
+    "metric_history": metric_history(),
     "value_clusters": "SELECT subject, period_key, CAST(cluster AS BIGINT) AS cluster, n, n_docs, low, high FROM cluster_size",
     "canonical_points": "SELECT subject, period_key, status, n_docs, value, observation_id FROM point",
     "slot_census": "SELECT status, count(*) AS n_slots, count(DISTINCT subject) AS n_subjects, sum(CASE WHEN n_docs > 1 THEN 1 ELSE 0 END) AS n_backed FROM point GROUP BY status",
@@ -144,7 +150,7 @@ UNION ALL SELECT a.child, c.parent, 3 FROM is_a a JOIN is_a b ON a.parent = b.ch
     "unevidenced_facts": "SELECT o.o_orderkey FROM orders o LEFT ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') l ON o.o_orderkey = l.l_orderkey",
     "endpoint_shape": "SELECT e.type, s.label AS src_label, d.label AS dst_label, count(*) AS n FROM edge e JOIN node s ON e.src = s.key JOIN node d ON e.dst = d.key GROUP BY e.type, s.label, d.label",
     "export_diff": "SELECT key, name FROM node WHERE label = 'Customer' EXCEPT SELECT key, name FROM node WHERE label = 'Customer' AND substr(key, 3) NOT IN ('7', '11')",
-    "fact_evidence": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, c.c_name, n.n_name, r.r_name FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey WHERE l.l_quantity >= 49",
+    "fact_evidence": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, c.c_name, n.n_name, r.r_name FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey",
     "compare_periods": "SELECT period_key, count(*) AS n, count(DISTINCT subject) AS n_subjects, count(DISTINCT document) AS n_documents, count(DISTINCT scale) AS n_scales, sum(CASE WHEN scale = 'millions' THEN 1 ELSE 0 END) AS n_millions, min(value) AS low, max(value) AS high FROM observation GROUP BY period_key",
     "neighbour_context": "SELECT a.conv_id, a.turn, b.turn - a.turn AS away, b.role, length(b.text) AS n_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'assistant'",
     "previous_passage": "SELECT a.conv_id, a.turn, b.turn AS previous_turn FROM conversations a LEFT JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn - 1",
