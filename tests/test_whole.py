@@ -3,6 +3,7 @@
 import datetime
 import itertools
 import math
+import statistics
 
 import pytest
 
@@ -24,14 +25,14 @@ def folder(spark, tmp_path):
     return run
 
 
-def series(prices):
+def series(prices, discount=lambda nation, at: 0.0):
     """Tables with one order a quarter: {nation: {quarters since 1990: price, or a list of prices of as many orders}}."""
     orders, lines = [], []
     for nation, quarters in prices.items():
         for at, price in quarters.items():
             for one in price if isinstance(price, list) else [price]:
                 orders.append((len(orders), nation, datetime.datetime(1990 + at // 4, at % 4 * 3 + 2, 1), "LOW"))
-                lines.append((len(lines), 1, 1, float(at), float(one), 0.0))
+                lines.append((len(lines), 1, 1, float(at), float(one), discount(nation, at)))
     return {
         "region": ([(0, "R")], "r_regionkey long, r_name string"),
         "nation": ([(n, f"N{n}", 0) for n in prices], "n_nationkey long, n_name string, n_regionkey long"),
@@ -65,3 +66,37 @@ def test_fact_evidence_of_every_line(folder):
     tables = series({1: {at: 5 for at in range(60)}, 2: {7: 5}})
     rows = folder("fact_evidence", tables)
     assert sorted((r["l_orderkey"], r["n_name"], r["r_name"]) for r in rows) == [(k, "N1" if k < 60 else "N2", "R") for k in range(61)]
+
+
+def test_reversing_steps_fire_as_moves(folder):
+    # N1 reverses by steps of over its sigma that are small for the metric; N2 has one reversal that also fires
+    small = [50_000_000 + 1000 * x for x in (0, 100, 200, -200, -300, -400, 100, 200, 300, -100, -200)]
+    large = [1_000_000 * x for x in (50, 70, 50, 70, 50, 70, 50, 52, 75, 45, 70, 50, 70)]
+    rows = folder("trend_reversal", series({1: dict(enumerate(small)), 2: dict(enumerate(large))}))
+    assert [(r["subject"], r["slot"]) for r in rows] == [("N2", 7960 + 9)]
+
+
+def test_divergence_of_two_canonical_metrics(folder):
+    nation, last = 4, 48
+    discount = lambda _, at: 0.5 if at in (7, 29) else 0.02 + at * 7 % 5 / 100
+    price = {at: 50_000_000 + 130_000 * (at * 5 % 11) for at in range(last)}
+    gaps, lost, tolerance = {}, set(), 1000
+    for at in range(last):
+        year, quarter = 1990 + at // 4, at % 4 + 1
+        if (nation + quarter) % 5 == 0 and (nation + quarter + year) % 7 == 0:  # two readings against two
+            lost.add(at)
+        else:
+            gaps[at] = 1000 * (round(price[at] / 1000) - round(price[at] * (1 - discount(0, at)) / 1000))
+    formula = {at: 1 if at < 32 else 3 if 41 <= at <= 43 else 2 for at in gaps}
+    want = {}
+    for at, gap in gaps.items():
+        near = [g for b, g in gaps.items() if formula[b] == formula[at]]
+        rest = [g for b, g in gaps.items() if formula[b] == formula[at] and b != at]
+        if len(near) >= 8 and statistics.pstdev(near) >= 2 * tolerance and statistics.pstdev(rest) >= 2 * tolerance:
+            z = (gap - statistics.fmean(near)) / statistics.pstdev(near)
+            if abs(z) >= 1.5:
+                want[7960 + at] = (gap, round(z, 4), len(near), len(gaps) - len(near), len(lost))
+    rows = folder("cross_metric_divergence", series({nation: price}, discount))
+    assert lost and 7967 in want
+    assert {r["slot"]: (r["gap"], r["z"], r["n_population"], r["n_excluded"], r["n_unresolved"]) for r in rows} == want
+    assert not folder("cross_metric_divergence", series({nation: price}, lambda _, at: 0.5 if at == 7 else 0.02 / (price[at] / 1e6)))  # one excursion is no spread

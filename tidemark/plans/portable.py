@@ -78,6 +78,32 @@ FROM fired f JOIN spread s ON f.subject = s.subject AND f.metric = s.metric WHER
     # sets of parts: a row per nation and part that its customers ordered, with the size of the nation's set
     "segment_part": """
 SELECT c, p, count(*) OVER (PARTITION BY c) AS n FROM (SELECT DISTINCT c_nationkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) x""",
+    "reversal": """
+SELECT r.subject, r.metric, r.slot, r.delta, r.d1, r.d2, f.direction, f.before, f.value FROM run_delta r JOIN fired f ON r.subject = f.subject AND r.metric = f.metric AND r.slot = f.slot
+WHERE r.population >= 8 AND r.sigma >= r.tolerance AND r.d1 <> 0 AND r.d2 <> 0 AND r.delta <> 0 AND r.d1 * r.d2 > 0 AND r.delta * r.d1 < 0 AND round(abs(r.delta) - r.sigma, 6) >= 0""",
+    # declared pairs of metrics whose levels may be compared: signs by which they are stored, and how one relates to the other
+    "metric_pair": """
+SELECT * FROM (VALUES ('gross_revenue', 'revenue', 'positive', 'positive', 'component')) AS p(left_metric, right_metric, left_sign, right_sign, relation)""",
+    "any_point": "SELECT * FROM point UNION ALL SELECT * FROM gross_point",
+    # with the metric's formula at the last day of the slot: of versions that overlap, the one that began last
+    "leveled": """
+SELECT p.subject, p.metric, p.slot, p.status, p.value, p.tolerance, CAST(coalesce(max(f.valid_from), DATE '0001-01-01') AS STRING) AS formula FROM any_point p LEFT JOIN formula f ON f.metric = p.metric
+AND last_day(make_date(CAST(floor(p.slot / 4) AS INT), CAST(p.slot % 4 * 3 + 3 AS INT), 1)) BETWEEN f.valid_from AND coalesce(f.valid_to, DATE '9999-12-31')
+GROUP BY p.subject, p.metric, p.slot, p.status, p.value, p.tolerance""",
+    # slots that both metrics of a pair have; a conflict on either side leaves the slot unresolved, without a gap
+    "paired": """
+SELECT *, sum(CASE WHEN unresolved THEN 1 ELSE 0 END) OVER w AS n_unresolved, sum(CASE WHEN unresolved THEN 0 ELSE 1 END) OVER w AS n_gaps FROM (
+SELECT l.subject, m.left_metric, m.right_metric, m.relation, l.slot, l.status = 'conflict' OR r.status = 'conflict' AS unresolved,
+       round(l.value - r.value, 9) AS gap, greatest(l.tolerance, r.tolerance) AS tolerance, l.formula || ' ' || r.formula AS formulas
+FROM metric_pair m JOIN leveled l ON l.metric = m.left_metric JOIN leveled r ON r.metric = m.right_metric AND r.subject = l.subject AND r.slot = l.slot
+WHERE m.left_sign = m.right_sign AND m.relation IS NOT NULL) p WINDOW w AS (PARTITION BY subject, left_metric, right_metric)""",
+    # each gap against those of its own formulas, with the spread that is left without it
+    "gap_population": """
+SELECT *, n_gaps - n AS n_excluded, CASE WHEN n > 1 THEN sqrt(greatest(0, (n * sigma * sigma - (gap - mean_gap) * (gap - mean_gap) * n / (n - 1)) / (n - 1))) ELSE 0 END AS sigma_without FROM (
+SELECT subject, left_metric, right_metric, relation, slot, gap, n_unresolved, n_gaps, count(*) OVER w AS n, avg(gap) OVER w AS mean_gap, stddev_pop(gap) OVER w AS sigma, 2 * max(tolerance) OVER w AS floor_value
+FROM paired WHERE NOT unresolved WINDOW w AS (PARTITION BY subject, left_metric, right_metric, formulas)) g""",
+    "divergence": """
+SELECT *, (gap - mean_gap) / sigma AS z FROM gap_population WHERE n >= 8 AND sigma > 0 AND sigma >= floor_value AND sigma_without >= floor_value AND abs(gap - mean_gap) / sigma >= 1.5""",
     # a property graph over the tables
     "node": """
 SELECT 'Region' AS label, 'r:' || CAST(r_regionkey AS STRING) AS key, r_name AS name FROM region
@@ -103,6 +129,11 @@ SELECT * FROM (VALUES ('license', 'apache license'), ('license', 'mit license'),
 }
 
 
+#: The parts from readings to canonical points, once more for a second metric: list prices before discounts.
+_SERIES = ("revenue", "observation", "toleranced", "linked", "clustered", "cluster_size", "ranked_cluster", "point")
+PARTS |= {f"gross_{name}": re.sub(rf"\b(FROM|JOIN) ({'|'.join(_SERIES)})\b", r"\1 gross_\2", PARTS[name]).replace("'revenue'", "'gross_revenue'").replace(" * (1 - l.l_discount)", "") for name in _SERIES}
+
+
 def metric_history(since: int | None = None, until: int | None = None) -> str:
     """Points from slot `since` to slot `until`, both included; None is no bound."""
     bounds = [f"slot {sign} {slot:d}" for sign, slot in ((">=", since), ("<=", until)) if slot is not None]
@@ -120,12 +151,10 @@ QUERIES: dict[str, str] = {
 AND a.observation_id < b.observation_id AND round(abs(a.value - b.value), 9) <= greatest(a.tolerance, b.tolerance)""",
     # D: detectors
     "metric_move": "SELECT subject || ':' || CAST(slot AS STRING) AS candidate_id, subject, metric, before_slot, slot, period_key, delta, delta_pct, fired_on, direction FROM fired",
-    "trend_reversal": """SELECT subject, metric, slot, delta, d1, d2 FROM run_delta WHERE population >= 8 AND sigma >= tolerance AND d1 <> 0 AND d2 <> 0 AND delta <> 0
-AND d1 * d2 > 0 AND delta * d1 < 0 AND round(abs(delta) - sigma, 6) >= 0""",
+    "trend_reversal": "SELECT subject, metric, slot, delta, d1, d2 FROM reversal",
     "acceleration": "SELECT subject, metric, slot, delta, d1, d2 FROM run_delta WHERE d2 * d1 > 0 AND d1 * delta > 0 AND abs(d1) > abs(d2) AND abs(delta) > abs(d1) AND round(abs(delta) - 1.5 * abs(d2), 9) >= 0",
-    "cross_metric_divergence": """SELECT subject, slot, round(gap, 4) AS gap, round((gap - m) / s, 4) AS z FROM (
-SELECT subject, slot, gap, avg(gap) OVER w AS m, stddev_pop(gap) OVER w AS s, count(*) OVER w AS n FROM (SELECT subject, y * 4 + q - 1 AS slot, value / n_orders - 150000 AS gap FROM revenue) g
-WINDOW w AS (PARTITION BY subject)) p WHERE n >= 8 AND s > 0 AND abs(gap - m) / s >= 1.5""",
+    "cross_metric_divergence": """SELECT subject, left_metric, right_metric, relation, slot, round(gap, 4) AS gap, round(z, 4) AS z, CAST(n AS BIGINT) AS n_population, CAST(n_excluded AS BIGINT) AS n_excluded,
+CAST(n_unresolved AS BIGINT) AS n_unresolved FROM divergence""",
     # R: history, scores, ranks
     "delta_distribution": "SELECT subject, metric, n, round(mean_delta, 2) AS mean_delta, round(sigma, 2) AS sigma, round(p90, 2) AS p90 FROM spread",
     "candidate_scores": "SELECT subject, slot, direction, z, units, score FROM scored",
