@@ -8,6 +8,8 @@ import statistics
 import pytest
 
 from tidemark import registry
+from tidemark.plans import portable
+from tidemark.sources.tables import run_sql
 
 ORDERS = "o_orderkey long, o_custkey long, o_orderdate timestamp, o_orderpriority string"
 LINES = "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_extendedprice double, l_discount double"
@@ -100,3 +102,30 @@ def test_divergence_of_two_canonical_metrics(folder):
     assert lost and 7967 in want
     assert {r["slot"]: (r["gap"], r["z"], r["n_population"], r["n_excluded"], r["n_unresolved"]) for r in rows} == want
     assert not folder("cross_metric_divergence", series({nation: price}, lambda _, at: 0.5 if at == 7 else 0.02 / (price[at] / 1e6)))  # one excursion is no spread
+
+
+def test_candidates_of_short_series_and_of_all_detectors_are_scored(folder, spark, tmp_path, monkeypatch):
+    prices = {
+        1: {0: 50_000_000, 1: 100_000_000},
+        6: dict(enumerate(1_000_000 * x for x in (50, 51, 52, 53, 99, 98))),
+        4: dict(enumerate(1_000_000 * x for x in (50, 70, 50, 70, 50, 70, 50, 52, 75, 45, 70, 50, 70, 69, 68, 60, 30, 50, 51, 50, 52, 51, 50, 52))),
+    }
+    found = {r["candidate_id"]: r for r in folder("candidate_scores", series(prices, lambda nation, at: 0.5 if at == 7 else 0.02 + at * 7 % 5 / 100))}
+    assert {r["detector"] for r in found.values()} == {"metric_move", "trend_reversal", "acceleration", "cross_metric_divergence"}
+    one, some = found["metric_move:N1:7961"], found["metric_move:N6:7964"]
+    assert one["z"] is None and one["units"] is None and (one["n_docs"], one["n_warnings"]) == (2, 0)
+    assert one["score"] == pytest.approx(0.15 * 2 / 5 + 0.10)
+    assert some["z"] is None and some["units"] >= 1
+    gap = next(r for r in found.values() if r["detector"] == "cross_metric_divergence")
+    assert gap["z"] >= 1.5 and gap["units"] is None
+    ranked = folder("ranked_candidates", {})
+    assert sorted(r["place"] for r in ranked) == list(range(1, len(found) + 1)) and {r["candidate_id"] for r in ranked} == set(found)
+    # a minority of readings in an anchor is a warning
+    minority = lambda nation, slot: ((nation + slot % 4 + 1) % 5 == 0) != ((nation + slot % 4 + 1 + slot // 4) % 7 == 0)
+    moves = [r for r in found.values() if r["detector"] == "metric_move"]
+    assert {r["n_warnings"] for r in moves} == {0, 1}
+    assert all(r["n_warnings"] == any(minority(int(r["subject"][1:]), slot) for slot in (r["slot"] - 1, r["slot"])) for r in moves)
+    # one accepted post that shares three of the four items of N1's move
+    monkeypatch.setitem(portable.PARTS, "accepted_item", "SELECT * FROM (VALUES ('a', 'type:metric_move'), ('a', 'metric:N1:revenue'), ('a', 'period:1990Q2'), ('b', 'period:1990Q1')) AS a(post, item)")
+    again = {r["candidate_id"]: r for r in run_sql(spark, str(tmp_path), portable.compose(portable.QUERIES["candidate_scores"])).collect()}
+    assert again["metric_move:N1:7961"]["score"] == pytest.approx(0.16 - 0.25 * 3 / math.sqrt(12), abs=1e-6)

@@ -69,18 +69,48 @@ FROM run WHERE verdict = 'ok' WINDOW w AS (PARTITION BY subject, metric, run ORD
     "spread": """
 SELECT subject, metric, count(*) AS n, avg(delta) AS mean_delta, stddev_pop(delta) AS sigma, percentile_cont(0.9) WITHIN GROUP (ORDER BY abs(delta)) AS p90
 FROM step WHERE verdict = 'ok' GROUP BY subject, metric""",
+    # candidates of all detectors; first_slot to slot are their anchors, own_z is a divergence's
+    "candidate": """
+SELECT 'metric_move:' || subject || ':' || CAST(slot AS STRING) AS candidate_id, 'metric_move' AS detector, subject, metric, metric AS other_metric, before_slot AS first_slot, slot, direction, delta,
+       CAST(NULL AS DOUBLE) AS own_z, CASE WHEN before * value < 0 THEN 1 ELSE 0 END AS n_own_warnings FROM fired
+UNION ALL SELECT 'trend_reversal:' || subject || ':' || CAST(slot AS STRING), 'trend_reversal', subject, metric, metric, slot - 3, slot, direction, delta, NULL, CASE WHEN before * value < 0 THEN 1 ELSE 0 END FROM reversal
+UNION ALL SELECT 'acceleration:' || subject || ':' || CAST(slot AS STRING), 'acceleration', subject, metric, metric, slot - 3, slot, CASE WHEN delta > 0 THEN 'increase' ELSE 'decrease' END, delta, NULL, 0 FROM accelerated
+UNION ALL SELECT 'cross_metric_divergence:' || subject || ':' || left_metric || ':' || right_metric || ':' || CAST(slot AS STRING), 'cross_metric_divergence', subject, left_metric, right_metric, slot, slot,
+       CASE WHEN z > 0 THEN 'increase' ELSE 'decrease' END, NULL, z, CASE WHEN n_excluded + n_unresolved > 0 THEN 1 ELSE 0 END FROM divergence""",
+    "anchored": """
+SELECT c.*, p.metric AS anchor_metric, p.period_key, p.n_docs, p.status, p.first_negative
+FROM candidate c JOIN (SELECT *, min(CASE WHEN status <> 'conflict' AND value < 0 THEN slot END) OVER (PARTITION BY subject, metric) AS first_negative FROM any_point) p
+ON p.subject = c.subject AND (p.metric = c.metric OR p.metric = c.other_metric) AND p.slot >= c.first_slot AND p.slot <= c.slot""",
+    # what stands behind a candidate: its weakest anchor, and a warning where an anchor overruled a minority of readings
+    "backed": """
+SELECT candidate_id, detector, subject, metric, other_metric, slot, direction, delta, own_z, min(n_docs) AS n_docs, n_own_warnings + max(CASE WHEN status = 'resolved_by_majority' THEN 1 ELSE 0 END) AS n_warnings,
+       max(CASE WHEN first_negative = slot THEN 0.5 ELSE 0 END) AS bonus
+FROM anchored GROUP BY candidate_id, detector, subject, metric, other_metric, slot, direction, delta, own_z, n_own_warnings""",
+    # items of accepted posts ('metric:subject:metric', 'period:key', 'type:detector'); nothing has been accepted yet
+    "accepted_item": "SELECT * FROM (VALUES ('', '')) AS a(post, item) WHERE post <> ''",
+    "accepted": "SELECT post, item, count(*) OVER (PARTITION BY post) AS n FROM accepted_item",
+    "described": """
+SELECT candidate_id, item, count(*) OVER (PARTITION BY candidate_id) AS n FROM (
+SELECT DISTINCT candidate_id, CASE k WHEN 0 THEN 'type:' || detector WHEN 1 THEN 'metric:' || subject || ':' || anchor_metric ELSE 'period:' || period_key END AS item FROM anchored CROSS JOIN (VALUES (0), (1), (2)) AS d(k)) i""",
+    "repeated": """
+SELECT candidate_id, max(cosine) AS repetition FROM (SELECT d.candidate_id, a.post, count(*) / sqrt(max(d.n) * max(a.n)) AS cosine
+FROM described d JOIN accepted a ON d.item = a.item GROUP BY d.candidate_id, a.post) o GROUP BY candidate_id""",
+    # terms of the score; a z needs eight steps and a spread, units need four steps
+    "term": """
+SELECT b.*, coalesce(r.repetition, 0) AS repetition, CASE WHEN b.own_z IS NOT NULL THEN abs(b.own_z) WHEN s.n >= 8 AND s.sigma > 0 THEN abs(b.delta - s.mean_delta) / s.sigma END AS z,
+       CASE WHEN s.n >= 4 AND s.p90 > 0 THEN abs(b.delta) / s.p90 END AS units, row_number() OVER (PARTITION BY b.detector, b.subject, b.metric, b.other_metric ORDER BY b.slot) - 1 AS n_prior
+FROM backed b LEFT JOIN spread s ON b.subject = s.subject AND b.metric = s.metric LEFT JOIN repeated r ON b.candidate_id = r.candidate_id""",
     "scored": """
-SELECT f.subject, f.metric, f.slot, f.direction, f.n_docs, round(abs(f.delta - s.mean_delta) / s.sigma, 6) AS z, round(abs(f.delta) / s.p90, 6) AS units,
-       round(0.40 * least(1, abs(f.delta - s.mean_delta) / s.sigma / 4) + 0.20 * least(1, abs(f.delta) / s.p90) + 0.15 * least(1, f.n_docs / 5.0)
-             + 0.10 / (1 + row_number() OVER (PARTITION BY f.subject ORDER BY f.slot) - 1) + 0.10 * greatest(0, 1 - (8006 - f.slot) / 32.0)
-             - CASE WHEN f.n_docs = 1 THEN 0.20 ELSE 0 END, 6) AS score
-FROM fired f JOIN spread s ON f.subject = s.subject AND f.metric = s.metric WHERE s.n >= 8 AND s.sigma > 0""",
+SELECT candidate_id, detector, subject, slot, direction, n_docs, n_warnings, round(repetition, 6) AS repetition, round(z, 6) AS z, round(units, 6) AS units,
+       round(0.40 * least(1, coalesce(z, 0) / 4) + 0.20 * least(1, coalesce(units, 0)) + 0.15 * least(1, n_docs / 5.0) + 0.10 * least(1, CAST(1 AS DOUBLE) / (1 + n_prior) + bonus)
+             + 0.10 * greatest(0, least(1, 1 - (8006 - slot) / 32.0)) - 0.15 * least(4, n_warnings) - CASE WHEN n_docs = 1 THEN 0.20 ELSE 0 END - 0.25 * least(1, repetition), 6) AS score FROM term""",
     # sets of parts: a row per nation and part that its customers ordered, with the size of the nation's set
     "segment_part": """
 SELECT c, p, count(*) OVER (PARTITION BY c) AS n FROM (SELECT DISTINCT c_nationkey AS c, l_partkey AS p FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey) x""",
     "reversal": """
 SELECT r.subject, r.metric, r.slot, r.delta, r.d1, r.d2, f.direction, f.before, f.value FROM run_delta r JOIN fired f ON r.subject = f.subject AND r.metric = f.metric AND r.slot = f.slot
 WHERE r.population >= 8 AND r.sigma >= r.tolerance AND r.d1 <> 0 AND r.d2 <> 0 AND r.delta <> 0 AND r.d1 * r.d2 > 0 AND r.delta * r.d1 < 0 AND round(abs(r.delta) - r.sigma, 6) >= 0""",
+    "accelerated": "SELECT subject, metric, slot, delta, d1, d2 FROM run_delta WHERE d2 * d1 > 0 AND d1 * delta > 0 AND abs(d1) > abs(d2) AND abs(delta) > abs(d1) AND round(abs(delta) - 1.5 * abs(d2), 9) >= 0",
     # declared pairs of metrics whose levels may be compared: signs by which they are stored, and how one relates to the other
     "metric_pair": """
 SELECT * FROM (VALUES ('gross_revenue', 'revenue', 'positive', 'positive', 'component')) AS p(left_metric, right_metric, left_sign, right_sign, relation)""",
@@ -152,13 +182,13 @@ AND a.observation_id < b.observation_id AND round(abs(a.value - b.value), 9) <=
     # D: detectors
     "metric_move": "SELECT subject || ':' || CAST(slot AS STRING) AS candidate_id, subject, metric, before_slot, slot, period_key, delta, delta_pct, fired_on, direction FROM fired",
     "trend_reversal": "SELECT subject, metric, slot, delta, d1, d2 FROM reversal",
-    "acceleration": "SELECT subject, metric, slot, delta, d1, d2 FROM run_delta WHERE d2 * d1 > 0 AND d1 * delta > 0 AND abs(d1) > abs(d2) AND abs(delta) > abs(d1) AND round(abs(delta) - 1.5 * abs(d2), 9) >= 0",
+    "acceleration": "SELECT subject, metric, slot, delta, d1, d2 FROM accelerated",
     "cross_metric_divergence": """SELECT subject, left_metric, right_metric, relation, slot, round(gap, 4) AS gap, round(z, 4) AS z, CAST(n AS BIGINT) AS n_population, CAST(n_excluded AS BIGINT) AS n_excluded,
 CAST(n_unresolved AS BIGINT) AS n_unresolved FROM divergence""",
     # R: history, scores, ranks
     "delta_distribution": "SELECT subject, metric, n, round(mean_delta, 2) AS mean_delta, round(sigma, 2) AS sigma, round(p90, 2) AS p90 FROM spread",
-    "candidate_scores": "SELECT subject, slot, direction, z, units, score FROM scored",
-    "ranked_candidates": """SELECT subject, slot, score, row_number() OVER (ORDER BY score DESC, subject, slot) AS place, dense_rank() OVER (ORDER BY top DESC, subject) AS cluster_rank
+    "candidate_scores": "SELECT candidate_id, detector, subject, slot, direction, z, units, n_docs, n_warnings, repetition, score FROM scored",
+    "ranked_candidates": """SELECT candidate_id, detector, subject, slot, score, row_number() OVER (ORDER BY score DESC, candidate_id) AS place, dense_rank() OVER (ORDER BY top DESC, subject) AS cluster_rank
 FROM (SELECT *, max(score) OVER (PARTITION BY subject) AS top FROM scored) t""",
     "repetition_cosine": """SELECT a.c AS left_segment, b.c AS right_segment, round(count(*) / sqrt(max(a.n) * max(b.n)), 6) AS cosine
 FROM segment_part a JOIN segment_part b ON a.p = b.p AND a.c < b.c GROUP BY a.c, b.c""",
