@@ -21,8 +21,8 @@ from pyspark.sql import types as T
 
 from .common import checkpointed
 
-MIN_SITES = 10
-LEAST_WORDS = 4
+MIN_SITES = 5
+LEAST_WORDS = 1
 #: Precision of the sketches (2 ** LG_K registers, standard error about 1.04 / sqrt(2 ** LG_K)) and the
 #: band around the threshold, in standard errors, in which lines are counted exactly.
 LG_K, BAND = 10, 5

@@ -83,9 +83,9 @@ ORACLES: dict[str, str] = {
 WITH line AS (
   SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS place FROM documents
 ), rated AS (
-  SELECT *, len(regexp_extract_all(line, '[^{_SPACE}]+')) >= 4 AS counts FROM line
+  SELECT *, len(regexp_extract_all(line, '[^{_SPACE}]+')) >= 1 AS counts FROM line
 ), wide AS (
-  SELECT line, min((doc_id, place)) AS first_at FROM rated WHERE counts GROUP BY line HAVING count(DISTINCT source) >= 10
+  SELECT line, min((doc_id, place)) AS first_at FROM rated WHERE counts GROUP BY line HAVING count(DISTINCT source) >= 5
 ), marked AS (
   SELECT r.doc_id, r.place, r.line, r.counts AND w.line IS NOT NULL AND w.first_at <> (r.doc_id, r.place) AS gone
   FROM rated r LEFT JOIN wide w ON r.line = w.line
