@@ -28,8 +28,10 @@ def drop_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without lines that stand on many sites; n_chars follows the text."""
+    """Documents without lines that stand on many sites; n_chars follows the text. One that loses all its words so is dropped: its lines stand where they occurred first."""
     done = linededup.cleaned(docs)
+    emptied = (F.col("_n_removed") > 0) & ~F.col("text").rlike("[^\\x20\\x09-\\x0D]")
+    done = done.where(~F.coalesce(emptied, F.lit(False)))
     if "n_chars" in docs.columns:
         done = done.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)

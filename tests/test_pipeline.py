@@ -1,0 +1,15 @@
+"""Stages of the pipeline on small documents."""
+
+import corpus_pipeline
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_documents_emptied_of_boilerplate_are_dropped(spark):
+    copied = "first line of a copied text\n\nsecond line of a copied text"
+    rows = [(i, copied, "en", f"s{i % 12}", len(copied)) for i in range(40)]
+    rows += [(100, "", "en", "s1", 0), (101, None, "en", "s1", None), (102, f"{copied}\nand its own", "en", "s2", 70), (None, copied, "en", "s3", len(copied))]
+    done = {r["doc_id"]: r for r in corpus_pipeline.drop_boilerplate(spark, spark.createDataFrame(rows, DOCS), "").collect()}
+    assert set(done) == {0, 100, 101, 102, None}
+    assert done[0]["text"] == done[None]["text"] == copied and done[100]["text"] == "" and done[101]["text"] is None
+    assert done[102]["text"].strip() == "and its own" and done[102]["n_chars"] == len(done[102]["text"])
