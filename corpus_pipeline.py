@@ -56,7 +56,7 @@ STAGES = [
     ("best-fit packing", pack),
 ]
 
-#: Training, EM and the genetic algorithm can't be told in SQL; tests hold the stages against brute force.
+#: Training, EM and the genetic algorithm can't be told in SQL; tests hold the operators against brute force, and of the stages only the third.
 ORACLE_SQL = None
 
 

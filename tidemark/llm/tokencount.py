@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -39,6 +40,11 @@ class TrieCounter(Cutter):
         self.words = Remembered(self._count, 50_000)
         self._clear()
 
+    @cached_property
+    def score(self) -> dict[bytes, float]:
+        """The log probability of each piece; made when asked for, counting reads tails alone."""
+        return {piece: one for piece, one in self.tails.items() if one}
+
     def _clear(self) -> None:
         """An empty trie: node numbers by (node << 8) + byte, and the best score and count of each node."""
         self.below: dict[int, int] = {}
