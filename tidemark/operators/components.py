@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage in the folder of ``spark.checkpoint.dir``; a session that names none gets a temporary one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return df.checkpoint()
+from ..sources.shared import cut
 
 
 def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
@@ -25,13 +17,13 @@ def connected(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """
     ids = nodes.select("id").where("id IS NOT NULL").distinct()
     both = links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).where("a <> b").distinct()
-    both = _cut(both.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
-    labels = _cut(ids.withColumn("component", F.col("id")))
+    both = cut(both.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi").select("a", "b"))
+    labels = cut(ids.withColumn("component", F.col("id")))
     while True:
         around = both.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
         moved = labels.join(around, "id", "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("to"))
         jump = labels.select(F.col("id").alias("to"), F.col("component").alias("on"))
-        after = _cut(moved.join(jump, "to").select("id", "was", F.least("to", "on").alias("component")))
+        after = cut(moved.join(jump, "to").select("id", "was", F.least("to", "on").alias("component")))
         if not after.where("component <> was").limit(1).count():
             return after.select("id", "component")
         labels = after.select("id", "component")

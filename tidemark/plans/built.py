@@ -26,7 +26,7 @@ _ORACLE_PARTS = named._other(compose(_NODES)).removeprefix("WITH ").removesuffix
 
 def finding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings with the least id of their connected component."""
-    return components.connected(named._run(compose(_NODES), spark, sf_dir), named._run(compose(_LINKS), spark, sf_dir))
+    return components.connected(named._run(_NODES, spark, sf_dir), named._run(_LINKS, spark, sf_dir))
 
 
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,15 +6,20 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..sources.tables import run_sql
+from ..sources.tables import run_staged
+from .portable import PARTS, compose
 from .portable import QUERIES as _TEXTS
-from .portable import compose
 from .portable import metric_history as _history
 
 
+#: Parts that are written once in a query that needs them: small aggregates that many parts mention.
+STAGES = ("revenue", "gross_revenue", "observation", "gross_observation", "point", "gross_point", "step", "fired", "candidate", "anchored", "scored")
+
+
 def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     # Spark replaces all matches without the flag that other engines ask for
-    return run_sql(spark, sf_dir, sql.replace(", 'g')", ")"))
+    parts = {name: text.replace(", 'g')", ")") for name, text in PARTS.items()}
+    return run_staged(spark, sf_dir, sql.replace(", 'g')", ")"), parts, STAGES)
 
 
 def _other(sql: str) -> str:
@@ -23,8 +28,8 @@ def _other(sql: str) -> str:
 
 
 def metric_history(spark: SparkSession, sf_dir: str, since: int | None = None, until: int | None = None) -> DataFrame:
-    return _run(compose(_history(since, until)), spark, sf_dir)
+    return _run(_history(since, until), spark, sf_dir)
 
 
-QUERIES = {name: partial(_run, compose(text)) for name, text in _TEXTS.items()} | {"metric_history": metric_history}
+QUERIES = {name: partial(_run, text) for name, text in _TEXTS.items()} | {"metric_history": metric_history}
 ORACLES = {name: _other(compose(text)) for name, text in _TEXTS.items()}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_folder
+
 
 def windowed(events: DataFrame, length: str = "1 hour", late: str = "1 day") -> DataFrame:
     """Events per window and type: count and sum of values; a watermark lets windows close after `late`."""
@@ -22,10 +23,7 @@ def drained(spark: SparkSession, path: str, length: str = "1 hour") -> DataFrame
 
     Complete mode returns every window; the state holds one row per window and type.
     """
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    folder = f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     stream = windowed(spark.readStream.schema(schema).parquet(f"{path[:-1]}[{path[-1]}]"), length)  # a pattern: a stream's plain path must be a folder
 
