@@ -53,10 +53,21 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Rows whose texts or sets are held as Python objects at once, and words a worker remembers: workers live through many stages.
+ROWS, WORDS = 256, 60_000
+
+
 def _word_numbers() -> Remembered:
     from xxhash import xxh3_64_intdigest
 
-    return Remembered(xxh3_64_intdigest, 300_000)
+    return Remembered(xxh3_64_intdigest, WORDS)
+
+
+def _sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in batches of at most ROWS."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
 
 
 def shingles(text: str | None, width: int, numbers: dict) -> np.ndarray:
@@ -86,7 +97,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
         from xxhash import xxh3_128_digest
 
         numbers = _word_numbers()
-        for batch in batches:
+        for batch in _sliced(batches):
             sizes, names, signatures = [], [], []
             for text in batch.column(1).to_pylist():
                 found = shingles(text, width, numbers)
@@ -155,7 +166,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, width: int, make: Callable[[np.ndar
 
     def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         numbers, bits = _word_numbers(), shared.value
-        for batch in batches:
+        for batch in _sliced(batches):
             buckets, places = batch.column(2).to_pylist(), batch.column(3).to_pylist()
             hit = [n in bits and bool(bits[n][p >> 3] >> (p & 7) & 1) for n, p in zip(buckets, places)]
             held = batch.filter(pa.array(hit, pa.bool_()))
@@ -172,7 +183,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _sliced(batches):
             hit = []
             for left, right in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 x, y = np.frombuffer(left, np.uint64), np.frombuffer(right, np.uint64)
