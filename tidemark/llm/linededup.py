@@ -1,9 +1,9 @@
 """Removal of boilerplate lines by the spread of sites they stand on (operator 4).
 
 A line counts if it has at least LEAST_WORDS words. Its spread is the number of distinct sites among the
-documents that hold it. Lines on one site alone are set aside by a plain aggregate; for the others
-HyperLogLog sketches of sites, merged per line hash, estimate the spread. Only lines whose estimate is
-near the threshold are counted exactly. A line with a spread of MIN_SITES or more is boilerplate: it stays
+documents that hold it. HyperLogLog sketches of sites, filled from the lines where they lie and merged per
+line hash, estimate the spread. Only lines whose estimate is near the threshold are counted exactly, after
+their rows have been combined by line and site. A line with a spread of MIN_SITES or more is boilerplate: it stays
 where it occurs first (smallest document, then place) and goes everywhere else, so that no text is lost.
 
 Lines are compared whole, through 64-bit hashes. Null sites are no site; null texts and ids pass through
@@ -39,19 +39,22 @@ def lines(docs: DataFrame, site: str = "source") -> DataFrame:
 def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
     """(hash, first_doc, first_at, n_sites) of the lines that stand on min_sites sites or more."""
     every = lines(docs, site)
-    several = every.groupBy("hash").agg(F.min("site").alias("a"), F.max("site").alias("b"), F.min(F.struct("doc_id", "at")).alias("first")).where("a < b").select("hash", "first")
-    several = checkpointed(several)
-    # One row per line and site: sites of a line are few against its occurrences, and a frequent line is combined before it moves.
-    spread = every.where(F.col("site").isNotNull()).join(several.select("hash"), "hash", "left_semi").groupBy("hash", "site").agg(F.count(F.lit(1)).alias("n"))
-    spread = checkpointed(spread)
-    sketches = spread.groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
-    estimate = sketches.select("hash", F.hll_sketch_estimate("sketch").alias("estimate"))
+    # sketches are filled where the lines are and merged by line, so a frequent line moves once a task
+    sketched = every.groupBy("hash").agg(F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"), F.min(F.struct("doc_id", "at")).alias("first"))
     margin = BAND * 1.04 / (1 << LG_K) ** 0.5 * min_sites + 1
-    near = estimate.where(F.abs(F.col("estimate") - min_sites) <= margin)
-    counted = spread.join(near.select("hash"), "hash", "left_semi").groupBy("hash").agg(F.count_distinct("site").alias("n_sites"))
-    sure = estimate.where(F.col("estimate") > min_sites + margin).select("hash", F.col("estimate").alias("n_sites"))
-    wide = sure.unionByName(counted.where(F.col("n_sites") >= min_sites))
-    return wide.join(several, "hash").select("hash", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), F.col("n_sites").cast("long").alias("n_sites"))
+    estimate = F.hll_sketch_estimate("sketch")
+    spread = checkpointed(sketched.select("hash", "first", estimate.alias("estimate")).where(F.col("estimate") >= min_sites - margin))
+    near = spread.where(F.col("estimate") <= min_sites + margin).select("hash")
+    few = near.limit(BROADCAST_LINES + 1).count() <= BROADCAST_LINES
+    # combined by line and site before lines meet: what is left of a line near the threshold are a few sites
+    sites = every.where(F.col("site").isNotNull())
+    if few:
+        sites = sites.join(F.broadcast(near), "hash", "left_semi").groupBy("hash", "site").agg(F.count(F.lit(1)).alias("n"))
+    else:
+        sites = sites.groupBy("hash", "site").agg(F.count(F.lit(1)).alias("n")).join(near, "hash", "left_semi")
+    counted = sites.groupBy("hash").agg(F.count(F.lit(1)).alias("n_sites")).where(F.col("n_sites") >= min_sites)
+    sure = spread.where(F.col("estimate") > min_sites + margin).select("hash", F.col("estimate").cast("long").alias("n_sites"))
+    return sure.unionByName(counted).join(spread, "hash").select("hash", F.col("first.doc_id").alias("first_doc"), F.col("first.at").alias("first_at"), "n_sites")
 
 
 def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
