@@ -2,31 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut as checkpointed
+from ..sources.shared import shared_folder
+
+__all__ = ["checkpointed", "read", "remainder", "shared_folder"]
+
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One table of the data folder, by whatever file system its path names."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only a session that names none (tests, one machine) gets a temporary one."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="tidemark-checkpoint-"))
-    return context.getCheckpointDir()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def remainder(key: str, n: int) -> Column:
     """crc32 of a key's decimal text modulo n; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
