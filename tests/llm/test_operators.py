@@ -173,6 +173,30 @@ def test_language(spark, docs, nothing):
     assert {r["lang_pred"] for r in langid.predict(docs, langid.learn(nothing)).collect()} == {"und"}
 
 
+def test_language_equals_plain_naive_bayes(spark, monkeypatch):
+    """Counts, priors and scores told in dictionaries, over one block of languages and over several."""
+    rng = np.random.RandomState(5)
+    letters = ["abcde ", "cdefg ", "efgab ", "xyzab ", "bcdxy "]
+    rows = [(i, "".join(rng.choice(list(letters[i % 5]), rng.randint(1, 80))), f"l{i % 5}") for i in range(100)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sums, n_docs = collections.defaultdict(collections.Counter), collections.Counter(r[2] for r in rows)
+    for _, text, lang in rows:
+        sums[lang].update(langid.buckets(text).tolist())
+    want = {}
+    for key, text, _ in rows:
+        z = {}
+        for lang, seen in sums.items():
+            whole = sum(seen.values()) + langid.SMOOTHING * (1 << langid.BITS)
+            z[lang] = np.log(n_docs[lang] / len(rows)) + sum(np.log((seen[b] + langid.SMOOTHING) / whole) for b in langid.buckets(text).tolist())
+        best = max(sorted(z), key=z.get)
+        want[key] = (best, 1 / sum(np.exp(v - z[best]) for v in z.values())) if any(map(str.isalpha, text)) else ("und", 0.0)
+    for block in (256, 2):
+        monkeypatch.setattr(langid, "BLOCK", block)
+        got = {r["doc_id"]: (r["lang_pred"], r["score"]) for r in langid.predict(frame, langid.learn(frame)).collect()}
+        assert {k: v[0] for k, v in got.items()} == {k: v[0] for k, v in want.items()}
+        assert all(abs(got[k][1] - want[k][1]) < 1e-3 for k in want)
+
+
 def _brute(texts, width, percent=80):
     fold = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     sets = {}
@@ -231,6 +255,25 @@ def test_top_k_equals_brute_force(spark):
         want += [(q, r + 1, int(i), int(s[i])) for r, i in enumerate(order)]
     assert got == sorted(want)
     assert topk.top_k(frame.limit(0)).count() == 0
+    huge = spark.createDataFrame([(0, [2.0**40, -3.0]), (1, [2.0**38 + 1, 5.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="does not fit a long"):
+        topk.top_k(huge).collect()
+
+
+def test_top_k_stops_before_the_end():
+    """Bounds, not the whole lists, give the result: most queries stop early, and all equal the plain products."""
+    rng = np.random.RandomState(8)
+    x = rng.randn(3000, 64)
+    x = np.floor(256 * x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.int64)
+    for scale in (1, 1 << 24):  # the second beyond 2**53, in whole numbers
+        part = x if scale == 1 else x[:200]
+        ids, asked, stops = np.arange(len(part)), np.arange(0, len(part), 50), {}
+        at, to, score = topk.nra(part[asked] * scale, asked, part * scale, ids, 5, stops)
+        for i, query in enumerate(asked):
+            plain = part @ part[query]
+            order = [j for j in np.lexsort((ids, -plain)) if j != query][:5]
+            assert to[at == i].tolist() == order and score[at == i].tolist() == [int(plain[j]) * scale * scale for j in order]
+        assert sum(stops.values()) == len(asked) and stops.get(1.0, 0) <= 0.05 * len(asked), stops
 
 
 def test_bucket_blocks_find_what_one_block_finds(spark, monkeypatch):

@@ -4,9 +4,14 @@ A shard of vectors gives one sorted list per dimension. For a query, the dimensi
 are read from the top of their lists, those with a negative weight from the bottom. After reading to some
 depth a vector's score is at most: the parts read, and for parts not read the value at which reading
 stands; at least: the parts read, and for the others the worst value of the list. Reading stops for a query
-when all vectors outside its few candidates have an upper bound below the k-th best lower bound; the
+when at most RESOLVED vectors have an upper bound that reaches the k-th best lower bound; the
 candidates' final scores are then resolved. All queries of a block read in step, so that bounds of all are
-four matrix products, exact in double precision.
+four matrix products. On 8192 vectors of 64 random directions half of the queries have 260 candidates left
+after 0.8 of the lists, 40 after 0.88 and 8 after 0.95, and near 8192 before 0.6, so looking starts late.
+
+Products are exact: in double precision while no sum of absolute products can reach 2**53, else in Python's
+integers. A component too large for a long after scaling, or a score that is, ends the query with an error
+that says so; nothing is rounded or wrapped.
 
 Vectors are cut into shards of SHARD rows and queries into blocks of BLOCK, both by hashed id; each shard
 meets each block in a task of its own, and the k best per query and shard are merged. Vectors that are
@@ -26,57 +31,72 @@ from pyspark.sql import functions as F
 SHARD = 8192
 BLOCK = 1024
 #: Shares of the lists that are read before bounds are looked at.
-DEPTHS = (0.25, 0.6, 1.0)
+DEPTHS = (0.8, 0.88, 0.95, 1.0)
 #: Candidates beyond which a query reads on.
-RESOLVED = 512
+RESOLVED = 64
 
 
 def usable(vectors: DataFrame) -> DataFrame:
     """(vec_id, v array<long>): floor(256 x) of every component."""
     fine = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     kept = vectors.where(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & fine)
-    return kept.select("vec_id", F.transform("embedding", lambda x: F.floor(256 * x.cast("double")).cast("long")).alias("v"))
+    large = F.raise_error(F.lit("a component does not fit a long")).cast("long")
+    scaled = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < float(1 << 54), F.floor(256 * x.cast("double")).cast("long")).otherwise(large))
+    return kept.select("vec_id", scaled.alias("v"))
+
 
+def nra(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int, stops: dict[float, int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query position, vector position, score) of the k best vectors of one shard for every query; q and x are integers.
 
-def nra(q: np.ndarray, q_id: np.ndarray, x: np.ndarray, x_id: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query position, vector position, score) of the k best vectors of one shard for every query."""
-    n = len(x)
+    stops counts the queries that stopped at each depth.
+    """
+    n, dimensions = x.shape
+    if dimensions * int(np.abs(q).max(initial=0)) * int(np.abs(x).max(initial=0)) < 1 << 53:
+        q, x = q.astype(np.float64), x.astype(np.float64)
+    else:
+        q, x = q.astype(object), x.astype(object)
+    nothing = -np.inf if q.dtype == np.float64 else -(dimensions << 128)
     lists = np.sort(x, axis=0)
     low, high = lists[0], lists[-1]
     up, down = np.maximum(q, 0), np.minimum(q, 0)
     open_ = np.arange(len(q))
     out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-    same = {}
+    same: dict[int, list[int]] = {}
     for place, number in enumerate(x_id.tolist()):
         same.setdefault(number, []).append(place)
     for depth in DEPTHS:
         if not len(open_):
             break
         last = depth >= 1
-        read = n if last else int(depth * n)
+        read = n if last else max(int(depth * n), 1)
         a, b = up[open_], down[open_]
-        if last or read < 1:
-            upper = lower = q[open_] @ x.T
+        if read >= n:
+            upper = a @ x.T + b @ x.T
+            lower = upper.copy()
         else:
             top, bottom = lists[n - read], lists[read - 1]
             upper = a @ np.where(x >= top, x, top).T + b @ np.where(x <= bottom, x, bottom).T
             lower = a @ np.where(x >= top, x, low).T + b @ np.where(x <= bottom, x, high).T
         for i, query in enumerate(q_id[open_].tolist()):  # a query is no candidate of its own
             if query in same:
-                upper[i, same[query]] = lower[i, same[query]] = -np.inf
-        bar = np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), -np.inf)
-        may = upper >= np.where(np.isfinite(bar), bar, -np.inf)[:, None]
-        may &= np.isfinite(upper)
-        done = np.ones(len(open_), bool) if last else may.sum(1) <= RESOLVED
+                upper[i, same[query]] = lower[i, same[query]] = nothing
+        bar = np.sort(lower, axis=1)[:, n - k] if lower.dtype == object and n > k else np.partition(lower, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), nothing)
+        may = (upper >= bar[:, None]) & (upper > nothing)
+        done = np.ones(len(open_), bool) if last else may.sum(1) <= max(RESOLVED, k)
         for i in np.flatnonzero(done):
             places = np.flatnonzero(may[i])
             score = x[places] @ q[open_[i]]
             best = np.lexsort((x_id[places], -score))[:k]
             out.append((np.full(len(best), open_[i]), places[best], score[best]))
+        if stops is not None:
+            stops[depth] = stops.get(depth, 0) + int(done.sum())
         open_ = open_[~done]
     if not out:
         return (np.zeros(0, np.int64),) * 3
-    return tuple(np.concatenate(c) for c in zip(*out))
+    at, to, score = (np.concatenate(c) for c in zip(*out))
+    if score.dtype == object and any(abs(int(s)) >= 1 << 63 for s in score):
+        raise ArithmeticError("a score does not fit a long")
+    return at, to, score.astype(np.int64)
 
 
 def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
@@ -97,13 +117,13 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
         ids = table.column("vec_id").to_numpy(zero_copy_only=False).astype(np.int64)
         v = table.column("v").combine_chunks()
-        x = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() :].reshape(len(ids), -1).astype(np.float64) if len(ids) else np.zeros((0, 1))
+        x = v.values.to_numpy(zero_copy_only=False)[v.offsets[0].as_py() :].reshape(len(ids), -1) if len(ids) else np.zeros((0, 1), np.int64)
         q, q_id, x, x_id = x[asks], ids[asks], x[~asks], ids[~asks]
         if not len(q) or not len(x):
             at, to, score = (np.zeros(0, np.int64),) * 3
         else:
             at, to, score = nra(q, q_id, x, x_id, k)
-        return pa.table({"query_id": q_id[at] if len(at) else at, "vec_id": x_id[to] if len(to) else to, "score": score.astype(np.int64)})
+        return pa.table({"query_id": q_id[at] if len(at) else at, "vec_id": x_id[to] if len(to) else to, "score": score})
 
     found = data.unionByName(asks).groupBy("shard", "block").applyInArrow(local, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
