@@ -165,6 +165,29 @@ def test_toxicity_finds_words_and_sentences(spark, docs, nothing):
     assert toxicity.score(nothing, model).count() == 0
 
 
+def test_toxicity_scores_equal_a_plain_noisy_or(spark, monkeypatch):
+    """Scores told by sets and products, from weights fitted to few labels; marks alone are no sentence."""
+    rng = np.random.RandomState(9)
+    words = [f"word{i}" for i in range(60)]
+    texts = {i: " ! ".join(" ".join(rng.choice(words, 6)) + (" nasty" if i % 5 == 0 and k == 1 else "") for k in range(4)) + "\n -- \n..." for i in range(120)}
+    texts |= {500: None, 501: "", 502: "--- ... !"}
+    frame = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(90)], "doc_id long, toxic int")
+    bias, weights = toxicity.train(frame, labels)
+
+    def plain(text):
+        bags = [{n for w in s.split() for n in toxicity.buckets(w)} for s in toxicity.sentences(text)]
+        z = [bias + sum(weights[n] for n in bag if abs(weights[n]) > 1e-3) for bag in bags if bag] or [bias]
+        return 1 - np.prod([1 - 1 / (1 + np.exp(-x)) for x in z])
+
+    got = {r["doc_id"]: r["_score"] for r in toxicity.score(frame, (bias, weights)).collect()}
+    assert all(abs(got[k] - plain(t)) < 1e-6 for k, t in texts.items())
+    assert all((got[i] >= 0.5) == (i % 5 == 0) for i in range(90, 120))
+    monkeypatch.setattr(toxicity, "SAMPLE_BYTES", 400)
+    few = toxicity.train(frame, labels)  # a bound of few documents still gives a model
+    assert len(few[1]) == 1 << toxicity.BITS
+
+
 def test_language(spark, docs, nothing):
     rows = [(i, ("der die und nicht auf " if i % 2 else "the and of that with ") * 5, "de" if i % 2 else "en") for i in range(40)]
     model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -58,17 +58,20 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
 
 
 def cleaned(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
-    """docs with its text less boilerplate, and ``_n_lines``, ``_n_removed``; all rows and other columns stay."""
+    """docs with its text less boilerplate, and ``_n_lines``, ``_n_removed`` (columns of these names are replaced); all rows and other columns stay."""
+    docs = docs.drop("_n_lines", "_n_removed")
     wide = checkpointed(boilerplate(docs, site, min_sites))
     if wide.count() <= BROADCAST_LINES:
         return _by_broadcast(docs, wide)
     removed = lines(docs, site).join(wide, "hash").where((F.col("doc_id") != F.col("first_doc")) | (F.col("at") != F.col("first_at")))
-    gone = removed.groupBy("doc_id").agg(F.collect_set("at").alias("_gone")).withColumnRenamed("doc_id", "_id")
-    joined = docs.join(gone, docs["doc_id"] == gone["_id"], "left").drop("_id")
-    parts = F.split("text", "\n")
-    kept = F.filter(parts, lambda line, at: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), at))
-    joined = joined.withColumn("_n_lines", F.coalesce(F.size(parts), F.lit(0)).cast("long")).withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    return joined.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))).drop("_gone")
+    gone = removed.groupBy("doc_id").agg(F.collect_set("at").alias("places"))
+    joined = docs.alias("d").join(gone.alias("g"), F.col("d.doc_id") == F.col("g.doc_id"), "left")
+    places, parts = F.col("g.places"), F.split(F.col("d.text"), "\n")
+    kept = F.array_join(F.filter(parts, lambda line, at: ~F.array_contains(F.coalesce(places, F.array().cast("array<int>")), at)), "\n")
+    text = F.when(places.isNull(), F.col("d.text")).otherwise(kept).alias("text")
+    return joined.select(
+        *(text if c == "text" else F.col(f"d.`{c}`") for c in docs.columns), F.coalesce(F.size(parts), F.lit(0)).cast("long").alias("_n_lines"), F.coalesce(F.size(places), F.lit(0)).cast("long").alias("_n_removed"),
+    )
 
 
 def _by_broadcast(docs: DataFrame, wide: DataFrame) -> DataFrame:
