@@ -4,9 +4,11 @@ A document is a bag of sentences. Each sentence's probability is logistic in the
 document's is their noisy-or, 1 - prod(1 - p). A word counts as itself and by its beginning. Only document labels are needed to train the weights, and
 the sentences that carry a document's score are then located.
 
-Training uses a bounded sample: the SAMPLE labelled rows given whose hashed id is smallest, whole texts as
-hashed words. Sentences end at newlines and after ``. ! ?``. A null or empty text is one sentence without
-words: it gets the score of the bias alone. Rows stay as they are; with no labelled row every score is 0.
+Training uses a bounded sample: of the labelled ids the SAMPLE whose hash is smallest, in that order as far
+as their hashed words take SAMPLE_BYTES; whole texts, one (the greatest) of an id that is repeated. Sentences
+end at newlines and after ``. ! ?``; one without words (marks alone) is none, in training and scoring alike.
+A null or empty text is one sentence without words: it gets the score of the bias alone. Rows stay as they
+are; with no labelled row every score is 0.
 """
 
 from __future__ import annotations
@@ -22,19 +24,22 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Remembered
+from .common import checkpointed
 
 BITS = 18
 #: Labelled documents that training reads at most.
 SAMPLE = 5000
+#: Bytes of their hashed words (four each) that the driver takes at most.
+SAMPLE_BYTES = 32 << 20
 #: Letters of a word's beginning.
 PREFIX = 4
 #: Screening: a feature stays if the documents of either label that hold it stray so many standard errors.
-STRAYS = 3.0
+STRAYS = 1.5
 #: Words must occur in so many sampled documents to get a weight.
-LEAST_DOCUMENTS = 3
+LEAST_DOCUMENTS = 2
 ROUNDS = 200
 STEP = 0.25
-L1 = 1.0
+L1 = 0.2
 THRESHOLD = 0.5
 _ENDS = str.maketrans(".!?", "\n\n\n")
 _MARKS = ".,;:!?\"'()[]{}<>*#$%&|~-_"
@@ -53,10 +58,10 @@ def sentences(text: str | None) -> list[str]:
 
 
 def bags(rows: DataFrame) -> DataFrame:
-    """(toxic, words binary, sizes binary): per document the distinct buckets of its sentences, and how many each has."""
+    """(doc_id, toxic, words binary, sizes binary): per document the distinct buckets of its sentences, and how many each has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers = Remembered(buckets, 200_000)
+        numbers = Remembered(buckets, 60_000)
         for batch in batches:
             words, sizes = [], []
             for text in batch.column(0).to_pylist():
@@ -64,17 +69,28 @@ def bags(rows: DataFrame) -> DataFrame:
                 sets = [s for s in sets if s] or [set()]
                 words.append(np.array([w for s in sets for w in sorted(s)], np.int32).tobytes())
                 sizes.append(np.array([len(s) for s in sets], np.int32).tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], ["toxic", "words", "sizes"])
+            yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(words, pa.binary()), pa.array(sizes, pa.binary())], ["doc_id", "toxic", "words", "sizes"])
 
-    return rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(run, "toxic int, words binary, sizes binary")
+    asked = rows.select("text", "doc_id", F.col("toxic").cast("int").alias("toxic"))
+    return asked.mapInArrow(run, f"doc_id {asked.schema['doc_id'].dataType.simpleString()}, toxic int, words binary, sizes binary")
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray]:
     """(bias, weights by bucket) from documents and the labels (doc_id, toxic) that may be learned from."""
     usable = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    rows = bags(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")).collect()
-    return fit([(row["toxic"], np.frombuffer(row["words"], np.int32), np.frombuffer(row["sizes"], np.int32)) for row in rows])
+    rows = bags(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id"))
+    one = checkpointed(rows.groupBy("doc_id").agg(F.max(F.struct("words", "sizes", "toxic")).alias("r")).select("doc_id", "r.*", F.xxhash64("doc_id").alias("h")))
+    room, taken = SAMPLE_BYTES, []
+    for row in one.select("doc_id", "h", F.octet_length("words").alias("n")).sort("h", "doc_id").collect():
+        room -= row["n"]
+        if room < 0:
+            break
+        taken.append((row["doc_id"],))
+    if not taken:
+        return fit([])
+    kept = one.join(F.broadcast(one.sparkSession.createDataFrame(taken, one.select("doc_id").schema)), "doc_id").collect()
+    return fit([(row["toxic"], np.frombuffer(row["words"], np.int32), np.frombuffer(row["sizes"], np.int32)) for row in kept])
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
@@ -112,8 +128,9 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarr
 
 
 def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
-    """docs with ``_score``, ``_n_offending`` (sentences of p >= THRESHOLD), and ``_worst`` (start, length, p) of the worst one."""
+    """docs with ``_score``, ``_n_offending`` (sentences of p >= THRESHOLD), and ``_worst_start``, ``_worst_length``, ``_worst_p`` of the worst one; columns of these names are replaced."""
     bias, weights = model
+    docs = docs.drop("_score", "_n_offending", "_worst_start", "_worst_length", "_worst_p")
     full = np.flatnonzero(np.abs(weights) > 1e-3)
     shared = docs.sparkSession.sparkContext.broadcast((bias, dict(zip(full.tolist(), weights[full].tolist()))))
     at = docs.columns.index("text")
@@ -121,8 +138,8 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, known = shared.value
-        weight = Remembered(lambda word: sum(known.get(n, 0.0) for n in buckets(word)), 200_000)
-        of = weight.__getitem__
+        weight = Remembered(lambda word: sum(known.get(n, 0.0) for n in buckets(word)), 60_000)
+        of, told = weight.__getitem__, Remembered(lambda word: bool(buckets(word)), 60_000).__getitem__
         quiet = math.log1p(math.exp(bias))
         for batch in batches:
             out = []
@@ -136,7 +153,7 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
                         z = bias + sum(known.get(n, 0.0) for n in {n for word in words if of(word) for n in buckets(word)})
                         loss, p = math.log1p(math.exp(min(z, 30.0))), 1 / (1 + math.exp(-max(-30.0, min(z, 30.0))))
                     else:
-                        loss, p = (quiet if words else 0.0), 1 / (1 + math.exp(-bias))
+                        loss, p = (quiet if any(map(told, words)) else 0.0), 1 / (1 + math.exp(-bias))
                     log_none -= loss
                     offending += p >= THRESHOLD
                     if p > worst[0]:
