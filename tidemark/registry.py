@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import built, named
+from .plans import built, evidence, lane, named, printed, story, vocab
 
-_MODULES = (named, built)
+_MODULES = (named, built, printed, story, lane, vocab, evidence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
