@@ -6,10 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import components, parse, vectors
+from ..sources.shared import cut
 from ..sources.tables import read
 from ..streaming import windows
 from . import named
+from .portable import QUERIES as _TEXTS
 from .portable import compose
+from .story import placed
 
 # Candidates of one subject in neighbouring slots, or of one slot, direction and region, are one finding.
 _LINKS = """
@@ -29,6 +32,15 @@ def finding_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return components.connected(named._run(_NODES, spark, sf_dir), named._run(_LINKS, spark, sf_dir))
 
 
+def ranked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates in the order of their scores, and their subjects by the best of each; places by ranges, not in one task."""
+    scored = cut(named._run("SELECT candidate_id, detector, subject, slot, score FROM scored", spark, sf_dir))
+    place = placed(scored, [F.col("score").desc(), F.col("candidate_id")])
+    best = scored.groupBy("subject").agg(F.max("score").alias("top"))
+    ranks = placed(best, [F.col("top").desc(), F.col("subject")]).select("subject", F.col("place").cast("int").alias("cluster_rank"))
+    return place.join(ranks, "subject").select("candidate_id", "detector", "subject", "slot", "score", F.col("place").cast("int").alias("place"), "cluster_rank")
+
+
 def page_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse.blocks(read(spark, sf_dir, "pages")).select("page_id", "seq", "kind", "level", "text", F.array_join("section", " > ").alias("section"))
 
@@ -73,9 +85,10 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.date_format(F.col("w")["start"], "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "total")
 
 
-QUERIES = {f.__name__: f for f in (finding_clusters, page_blocks, page_tables, page_passages, table_cells, answer_replay, concept_topk, event_windows)}
+QUERIES = {f.__name__: f for f in (finding_clusters, ranked_candidates, page_blocks, page_tables, page_passages, table_cells, answer_replay, concept_topk, event_windows)}
 
 ORACLES = {
+    "ranked_candidates": named._other(compose(_TEXTS["ranked_candidates"])),
     "table_cells": """
 WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS n FROM documents),
 c AS (SELECT doc_id, n, string_split(trim(line), '|') AS parts FROM l WHERE trim(line) LIKE '|%|' AND length(trim(line)) > 1)

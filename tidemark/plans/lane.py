@@ -91,6 +91,19 @@ def phrase_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tables.label_surfaces(folded, surfaces).select(F.col("label").alias("doc_id"), F.col("metric_id").alias("concept"), "surface")
 
 
+def alias_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licenses, contacts and rights named in documents, as whole phrases."""
+    docs = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    folded = docs.select(F.col("doc_id").alias("label"), F.lower(text.folded(F.col("text"))).alias("normal"))
+    return tables.label_surfaces(folded, spark.createDataFrame(_ALIASES, "surface string, metric_id string")).select(F.col("label").alias("doc_id"), F.col("metric_id").alias("concept"), "surface")
+
+
+def concept_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of documents with how many surfaces name them."""
+    return alias_hits(spark, sf_dir).groupBy("doc_id", "concept").agg(F.count(F.lit(1)).alias("n_reasons"), F.min("surface").alias("first_reason"))
+
+
+_ALIASES = [("apache license", "license"), ("mit license", "license"), ("general public license", "license"), ("example", "contact"), ("released under", "rights"), ("licensed under", "rights"), ("licensed under", "license")]
 _PHRASES = [("mit license", "license"), ("apache license", "license"), ("gnu general public license", "license"), ("all rights reserved", "rights"), ("rights", "rights"), ("license", "license"), ("e-mail", "contact"), ("mail", "contact"), ("the", "common")]
 
 
@@ -106,7 +119,7 @@ def printed_renderings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (table_claims, table_issues, table_cells_addressed, resolved_labels, phrase_hits, printed_renderings)}
+QUERIES = {f.__name__: f for f in (table_claims, table_issues, table_cells_addressed, resolved_labels, phrase_hits, alias_hits, concept_scope, printed_renderings)}
 
 # a table's columns by kind: number j, back years, first and last month (0: refused), then its rows
 _LANE = """
@@ -117,6 +130,15 @@ rw(i, metric_id, label, unit) AS (VALUES (0, 'net_revenue', 'Net revenue', 'USD'
 ce AS (SELECT id, cu.k, i, j, metric_id, label, unit, CASE WHEN hd.k = 2 THEN 2000 + y % 100 ELSE y - back END AS yy, a, b, CASE WHEN i = 1 THEN (v + 100 + 7 * j) % 90 + 0.5 WHEN i = 0 AND neg THEN -(v + 7 * j) ELSE v + 100 * i + 7 * j END AS x
   FROM cu JOIN hd ON hd.k = cu.k CROSS JOIN rw WHERE f < 48 AND (i <> 9 OR cu.k = 2))"""
 
+
+
+def _said(pairs: list[tuple[str, str]]) -> str:
+    """Relation hit: phrases that documents hold with no letter or digit beside them."""
+    values = ", ".join(f"('{a}', '{b}')" for a, b in pairs)
+    folded = "translate(lower(text), '—–−“”‘’\"''', '---')"
+    return f"s(surface, concept) AS (VALUES {values}), hit AS (SELECT DISTINCT doc_id, concept, surface FROM (SELECT doc_id, {folded} AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL) d JOIN s ON contains(t, surface) AND regexp_matches(' ' || t || ' ', '[^a-z0-9]' || surface || '[^a-z0-9]'))"
+
+
 ORACLES = {
     # kind 6 names one period twice with different values: all its rows are refused
     "table_claims": f"""WITH {_LANE}
@@ -134,6 +156,8 @@ SELECT id AS table_id, code, n::BIGINT AS n FROM cu JOIN n USING (k) WHERE f < 4
     "table_cells_addressed": """SELECT 0 AS table_id WHERE false""",
     "resolved_labels": """SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN 'net_revenue' WHEN 1 THEN 'order_count' WHEN 2 THEN 'gross_revenue,net_revenue' WHEN 3 THEN 'discount_rate' WHEN 4 THEN 'open_orders,order_count' WHEN 5 THEN '' ELSE 'open_orders,order_count' END AS metric_ids,
 CASE o_orderkey % 7 WHEN 0 THEN 'canonical_label' WHEN 1 THEN 'canonical_label' WHEN 3 THEN 'exact_alias' WHEN 5 THEN 'unresolved' ELSE 'ambiguous_alias' END AS basis FROM orders""",
+    "alias_hits": f"WITH {_said(_ALIASES)} SELECT doc_id, concept, surface FROM hit",
+    "concept_scope": f"WITH {_said(_ALIASES)} SELECT doc_id, concept, count(*) AS n_reasons, min(surface) AS first_reason FROM hit GROUP BY doc_id, concept",
     "phrase_hits": "WITH s(surface, concept) AS (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _PHRASES) + r"""), d AS (SELECT doc_id, translate(lower(text), '—–−“”‘’"''', '---') AS t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL)
 SELECT DISTINCT doc_id, concept, surface FROM d JOIN s ON contains(t, surface) AND regexp_matches(' ' || t || ' ', '[^a-z0-9]' || surface || '[^a-z0-9]')""",
     "printed_renderings": """SELECT c_custkey, CASE WHEN n < 0 THEN '$(' || format('{:,}', abs(n)) || ')' ELSE '$' || format('{:,}', n) END AS accounting,

@@ -147,15 +147,10 @@ SELECT 'PART_OF' AS type, 'n:' || CAST(n_nationkey AS STRING) AS src, 'r:' || CA
 UNION ALL SELECT 'LOCATED_IN', 'c:' || CAST(c_custkey AS STRING), 'n:' || CAST(c_nationkey AS STRING) FROM customer
 UNION ALL SELECT 'LOCATED_IN', 's:' || CAST(s_suppkey AS STRING), 'n:' || CAST(s_nationkey AS STRING) FROM supplier
 UNION ALL SELECT 'PLACED', 'c:' || CAST(o_custkey AS STRING), 'o:' || CAST(o_orderkey AS STRING) FROM orders
-UNION ALL SELECT DISTINCT 'CONTAINS', 'o:' || CAST(l_orderkey AS STRING), 'p:' || CAST(l_partkey AS STRING) FROM lineitem
-UNION ALL SELECT 'PLACED', 'c:-1', 'o:' || CAST(o_orderkey AS STRING) FROM orders WHERE o_orderkey % 997 = 0""",
+UNION ALL SELECT DISTINCT 'CONTAINS', 'o:' || CAST(l_orderkey AS STRING), 'p:' || CAST(l_partkey AS STRING) FROM lineitem""",
     "formula": """
 SELECT * FROM (VALUES ('revenue', 1, DATE '1990-01-01', DATE '1997-12-31'), ('revenue', 2, DATE '1998-01-01', CAST(NULL AS DATE)), ('revenue', 3, DATE '2000-06-01', DATE '2000-12-31'))
   AS f(metric, version, valid_from, valid_to)""",
-    "alias": """
-SELECT * FROM (VALUES ('license', 'apache license'), ('license', 'mit license'), ('license', 'general public license'), ('contact', 'example'), ('rights', 'released under'), ('rights', 'licensed under'), ('license', 'licensed under'))
-  AS a(concept, surface)""",
-    "is_a": "SELECT * FROM (VALUES ('quarter', 'period'), ('fiscal_year', 'period'), ('period', 'time'), ('time', 'thing'), ('issuer', 'party'), ('party', 'thing')) AS t(child, parent)",
 }
 
 
@@ -193,22 +188,12 @@ FROM (SELECT *, max(score) OVER (PARTITION BY subject) AS top FROM scored) t""",
     "repetition_cosine": """SELECT a.c AS left_segment, b.c AS right_segment, round(count(*) / sqrt(max(a.n) * max(b.n)), 6) AS cosine
 FROM segment_part a JOIN segment_part b ON a.p = b.p AND a.c < b.c GROUP BY a.c, b.c""",
     # O: vocabulary
-    "formula_as_of": """SELECT v.version, count(*) AS n_orders, sum(CASE WHEN v.valid_to IS NULL THEN 1 ELSE 0 END) AS n_open FROM orders o JOIN formula v
-ON CAST(o.o_orderdate AS DATE) BETWEEN v.valid_from AND coalesce(v.valid_to, DATE '9999-12-31') GROUP BY v.version""",
-    "formula_overlap": """SELECT metric, version, next_version FROM (SELECT *, lead(valid_from) OVER w AS next_from, lead(version) OVER w AS next_version FROM formula
-WINDOW w AS (PARTITION BY metric ORDER BY valid_from)) f WHERE next_from <= coalesce(valid_to, DATE '9999-12-31')""",
-    "ancestor_closure": """SELECT child, parent, 1 AS steps FROM is_a UNION ALL SELECT a.child, b.parent, 2 FROM is_a a JOIN is_a b ON a.parent = b.child
-UNION ALL SELECT a.child, c.parent, 3 FROM is_a a JOIN is_a b ON a.parent = b.child JOIN is_a c ON b.parent = c.child""",
-    "surface_index": "SELECT surface, count(DISTINCT concept) AS n_concepts, min(concept) AS first_concept, count(DISTINCT concept) > 1 AS ambiguous FROM alias GROUP BY surface",
     # G, Q: graph
     "graph_nodes": "SELECT label, count(*) AS n, count(DISTINCT key) AS n_keys, count(name) AS n_named FROM node GROUP BY label",
     "graph_edges": "SELECT type, count(*) AS n, count(DISTINCT src) AS n_src, count(DISTINCT dst) AS n_dst FROM edge GROUP BY type",
     "degree": "SELECT n.label, count(*) AS n, sum(coalesce(d.degree, 0)) AS ends, max(coalesce(d.degree, 0)) AS most FROM node n LEFT JOIN (SELECT key, count(*) AS degree FROM (SELECT src AS key FROM edge UNION ALL SELECT dst FROM edge) e GROUP BY key) d ON n.key = d.key GROUP BY n.label",
-    "dangling_edges": "SELECT type, src, dst FROM edge e WHERE NOT EXISTS (SELECT 1 FROM node n WHERE n.key = e.src) OR NOT EXISTS (SELECT 1 FROM node n WHERE n.key = e.dst)",
-    "duplicate_keys": "SELECT label, key, count(*) AS n FROM (SELECT * FROM node UNION ALL SELECT * FROM node WHERE label = 'Region') u GROUP BY label, key HAVING count(*) > 1",
     "unevidenced_facts": "SELECT o.o_orderkey FROM orders o LEFT ANTI JOIN (SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R') l ON o.o_orderkey = l.l_orderkey",
     "endpoint_shape": "SELECT e.type, s.label AS src_label, d.label AS dst_label, count(*) AS n FROM edge e JOIN node s ON e.src = s.key JOIN node d ON e.dst = d.key GROUP BY e.type, s.label, d.label",
-    "export_diff": "SELECT key, name FROM node WHERE label = 'Customer' EXCEPT SELECT key, name FROM node WHERE label = 'Customer' AND substr(key, 3) NOT IN ('7', '11')",
     "fact_evidence": "SELECT l.l_orderkey, l.l_linenumber, o.o_orderpriority, c.c_name, n.n_name, r.r_name FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey JOIN customer c ON o.o_custkey = c.c_custkey JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey",
     "compare_periods": "SELECT period_key, count(*) AS n, count(DISTINCT subject) AS n_subjects, count(DISTINCT document) AS n_documents, count(DISTINCT scale) AS n_scales, sum(CASE WHEN scale = 'millions' THEN 1 ELSE 0 END) AS n_millions, min(value) AS low, max(value) AS high FROM observation GROUP BY period_key",
     "neighbour_context": "SELECT a.conv_id, a.turn, b.turn - a.turn AS away, b.role, length(b.text) AS n_chars FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn BETWEEN a.turn - 1 AND a.turn + 1 WHERE a.role = 'assistant'",
@@ -224,37 +209,14 @@ UNION ALL SELECT a.child, c.parent, 3 FROM is_a a JOIN is_a b ON a.parent = b.ch
     # J: agreement between catalogs
     "claim_agreement": "SELECT l.l_orderkey, l.l_linenumber FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey WHERE l.l_shipdate < o.o_orderdate OR l.l_quantity <= 0 OR l.l_discount NOT BETWEEN 0 AND 1 OR l.l_tax > 0.07",
     "payload_ids": "SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN d.doc_id IS NULL THEN 'no document' ELSE 'no label' END AS missing FROM documents d FULL OUTER JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL",
-    "gold_recall": """SELECT d.lang, count(*) AS n, sum(l.quality) AS n_good, sum(CASE WHEN l.quality = 1 AND d.n_chars >= 200 THEN 1 ELSE 0 END) AS n_hit,
-round(CAST(sum(CASE WHEN l.quality = 1 AND d.n_chars >= 200 THEN 1 ELSE 0 END) AS DOUBLE) / sum(l.quality), 6) AS recall FROM documents d JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang""",
     # F, T, X: selection, text and numbers
-    "selection_decisions": """SELECT decision, count(*) AS n, sum(n_chars) AS n_chars FROM (SELECT n_chars, CASE WHEN n_chars < 20 THEN 'below_floor' WHEN lang NOT IN ('en', 'de') THEN 'exclude_language'
-WHEN source LIKE 'src1%' THEN 'low_priority' WHEN n_chars > 10000 THEN 'oversize' ELSE 'select' END AS decision FROM documents) d GROUP BY decision""",
-    "typed_candidates": """SELECT lane, reason, count(*) AS n FROM (SELECT lane, CASE WHEN lane = 'table' AND text LIKE '%|%' THEN 'row_label' WHEN lane = 'narrative' AND lower(text) LIKE '%license%' THEN 'alias'
-WHEN lane = 'narrative' AND n_chars > 1000 THEN 'document_prior' ELSE 'none' END AS reason FROM documents CROSS JOIN (VALUES ('table'), ('narrative')) AS l(lane)) c GROUP BY lane, reason""",
-    "passage_usability": "SELECT doc_id, CASE WHEN length(text) < 20 THEN 'too_short' WHEN length(text) - length(replace(text, ' ', '')) < 2 THEN 'too_few_words' ELSE 'usable' END AS usability FROM documents",
-    "alias_hits": "SELECT d.doc_id, a.concept, a.surface FROM documents d JOIN alias a ON contains(lower(d.text), a.surface)",
-    "concept_scope": "SELECT doc_id, concept, count(*) AS n_reasons, min(surface) AS first_reason FROM (SELECT d.doc_id, a.concept, a.surface FROM documents d JOIN alias a ON contains(lower(d.text), a.surface)) h GROUP BY doc_id, concept",
-    "number_parse": """SELECT raw, CASE WHEN trim(raw) IN ('-', '') THEN NULL WHEN raw LIKE '(%' THEN -TRY_CAST(regexp_replace(raw, '[^0-9.]', '', 'g') AS DOUBLE) ELSE TRY_CAST(regexp_replace(raw, '[^0-9.]', '', 'g') AS DOUBLE) END AS value
-FROM (VALUES ('$ 1,234'), ('(56.7)'), ('-'), ('12%'), ('n/a')) AS v(raw)""",
-    "period_shape": """SELECT s, e, CASE WHEN s IS NULL THEN 'instant' WHEN m = 3 THEN 'quarter' WHEN m = 12 THEN 'fiscal_year' WHEN m = 6 THEN 'ytd_6m' WHEN m = 9 THEN 'ytd_9m' ELSE 'other' END AS shape
-FROM (SELECT s, e, (year(e) - year(s)) * 12 + month(e) - month(s) + 1 AS m FROM (VALUES (DATE '2023-01-01', DATE '2023-03-31'), (DATE '2023-01-01', DATE '2023-12-31'), (DATE '2023-01-01', DATE '2023-06-30'), (CAST(NULL AS DATE), DATE '2023-06-30'), (DATE '2023-01-01', DATE '2023-05-31')) AS p(s, e)) x""",
-    "tolerance_window": "SELECT value, digits, round(0.5 * pow(10, floor(log10(abs(value))) - digits + 1), 9) AS half_width FROM (VALUES (1234.5, 3), (0.0123, 2), (98765.0, 4)) AS t(value, digits)",
     "change_arithmetic": "SELECT subject, slot, delta, CASE WHEN before = 0 OR before * value < 0 THEN NULL ELSE round((value - before) / abs(before) * 100, 6) END AS pct FROM step WHERE before IS NOT NULL",
     # P, V, A: packages, derivations, reports
-    "round_robin_cap": """SELECT o_orderpriority, o_orderkey, depth FROM (SELECT *, row_number() OVER (ORDER BY depth, o_orderpriority, o_orderkey) AS place FROM
-(SELECT o_orderpriority, o_orderkey, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS depth FROM orders) d WHERE depth <= 12) p WHERE place <= 12""",
-    "section_caps": "SELECT source, doc_id, place FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS place FROM documents) s WHERE place <= 4",
-    "budget_cut": "SELECT source, doc_id, spent FROM (SELECT source, doc_id, sum(CAST(floor(n_chars / 4) AS BIGINT)) OVER (PARTITION BY source ORDER BY n_chars, doc_id ROWS UNBOUNDED PRECEDING) AS spent FROM documents) b WHERE spent <= 5000",
-    "derivation_offers": """SELECT a.subject, a.slot AS earlier, b.slot AS later, op FROM valued a JOIN valued b ON a.subject = b.subject AND a.metric = b.metric AND a.slot < b.slot AND b.slot <= a.slot + 4
-CROSS JOIN (VALUES ('absolute_change'), ('relative_change')) AS o(op) WHERE op = 'absolute_change' OR a.value <> 0""",
     "derived_facts": "SELECT a.subject, a.slot AS earlier, b.slot AS later, round(b.value - a.value, 9) AS change, CASE WHEN b.value > a.value THEN 'up' WHEN b.value < a.value THEN 'down' ELSE 'flat' END AS direction FROM valued a JOIN valued b ON a.subject = b.subject AND a.metric = b.metric AND b.slot = a.slot + 4",
-    "gate_verdict": """SELECT doc_id, max(severity) >= 2 AS refused, count(*) AS n_findings FROM (SELECT d.doc_id, g.severity FROM documents d JOIN (VALUES ('short', 1), ('table', 2), ('long', 1)) AS g(code, severity)
-ON g.code = CASE WHEN d.n_chars < 100 THEN 'short' WHEN d.text LIKE '%|%' THEN 'table' WHEN d.n_chars > 5000 THEN 'long' END) f GROUP BY doc_id""",
     "forms_by_year_pivot": "SELECT coalesce(o_orderpriority, 'all') AS priority, CAST(coalesce(year(o_orderdate), 0) AS INT) AS y, count(*) AS n FROM orders GROUP BY CUBE (o_orderpriority, year(o_orderdate))",
     "kind_sizes": "SELECT lang, count(*) AS n, sum(n_chars) AS total, max(n_chars) AS largest, round(avg(n_chars), 4) AS mean_chars FROM documents GROUP BY lang",
     "run_report": "SELECT source, lang, count(*) AS n, sum(CASE WHEN text LIKE '%|%' THEN 1 ELSE 0 END) AS n_tables FROM documents GROUP BY source, lang",
     "review_sample": "SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS r FROM documents) s WHERE r <= 5",
-    "catalog_duplicates": "SELECT doc_id, first_id FROM (SELECT doc_id, row_number() OVER w AS r, min(doc_id) OVER (PARTITION BY text) AS first_id FROM documents WINDOW w AS (PARTITION BY text ORDER BY doc_id)) t WHERE r > 1",
 }
 
 
