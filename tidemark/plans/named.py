@@ -7,6 +7,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources.tables import run_staged
+from .apart import APART
 from .portable import PARTS, compose
 from .portable import QUERIES as _TEXTS
 from .portable import metric_history as _history
@@ -32,4 +33,4 @@ def metric_history(spark: SparkSession, sf_dir: str, since: int | None = None, u
 
 
 QUERIES = {name: partial(_run, text) for name, text in _TEXTS.items()} | {"metric_history": metric_history}
-ORACLES = {name: _other(compose(text)) for name, text in _TEXTS.items()}
+ORACLES = {name: APART.get(name) or _other(compose(text)) for name, text in _TEXTS.items()}
