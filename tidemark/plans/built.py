@@ -88,7 +88,7 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (finding_clusters, ranked_candidates, page_blocks, page_tables, page_passages, table_cells, answer_replay, concept_topk, event_windows)}
 
 #: Blocks of pages by text surgery: hidden parts out, block tags to separators, other tags away, entities last.
-_PAGE = r"""
+PAGE = r"""
 h AS (SELECT page_id, regexp_replace(regexp_replace(html, '(?s)<!--.*?-->|<!DOCTYPE[^>]*>', '', 'g'), '(?s)<(head|script|style)\b.*?</(head|script|style)>', '', 'g') AS t FROM pages WHERE html IS NOT NULL),
 m AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(t, '<h1[^>]*>', chr(1) || chr(2), 'g'), '<li[^>]*>', chr(1) || chr(3), 'g'), '</?(p|div|article|section|nav|header|footer|ul|ol|li|h1|body|html)\b[^>]*>', chr(1), 'g'), '<br[^>]*>', ' ', 'g') AS t FROM h),
 p AS (SELECT page_id, unnest(string_split(regexp_replace(t, '</?[a-zA-Z][^>]*>', '', 'g'), chr(1))) AS x, generate_subscripts(string_split(regexp_replace(t, '</?[a-zA-Z][^>]*>', '', 'g'), chr(1)), 1) AS n FROM m),
@@ -96,9 +96,9 @@ u AS (SELECT page_id, n, CASE left(x, 1) WHEN chr(2) THEN 'heading' WHEN chr(3)
 b AS (SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY n) - 1)::INTEGER AS seq, kind, CASE kind WHEN 'heading' THEN 1 ELSE 0 END AS level, text FROM u WHERE text <> '')"""
 
 ORACLES = {
-    "page_blocks": f"WITH {_PAGE} SELECT page_id, seq, kind, level, text, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY seq), '') AS section FROM b",
+    "page_blocks": f"WITH {PAGE} SELECT page_id, seq, kind, level, text, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY seq), '') AS section FROM b",
     # passages packed by a walk over a page's blocks, one at a time; no paragraph of the compared tables is over 4000 characters
-    "page_passages": f"""WITH RECURSIVE {_PAGE}, s AS (SELECT page_id, seq, kind, text, length(text) AS n, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY seq), '') AS section FROM b),
+    "page_passages": f"""WITH RECURSIVE {PAGE}, s AS (SELECT page_id, seq, kind, text, length(text) AS n, coalesce(last_value(CASE WHEN kind = 'heading' THEN text END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY seq), '') AS section FROM b),
 w AS (SELECT page_id, -1 AS seq, '' AS section, 0::BIGINT AS held, 0 AS p, false AS member FROM (SELECT DISTINCT page_id FROM s) x UNION ALL
   SELECT s.page_id, s.seq, s.section, CASE WHEN s.kind = 'heading' THEN 0 WHEN h.fresh THEN CASE WHEN s.n >= 1500 THEN 0 ELSE s.n + 2 END WHEN w.held + s.n >= 1500 THEN 0 ELSE w.held + s.n + 2 END, CASE WHEN s.kind <> 'heading' AND h.fresh THEN w.p + 1 ELSE w.p END, s.kind <> 'heading'
   FROM w JOIN s ON s.page_id = w.page_id AND s.seq = w.seq + 1, LATERAL (SELECT w.held = 0 OR s.section <> w.section OR w.held + s.n > 4000 AS fresh) h)

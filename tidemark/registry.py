@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import built, evidence, lane, named, packages, printed, stores, story, vocab
+from .plans import built, evidence, lane, named, packages, printed, recorded, stores, story, vocab
 
-_MODULES = (named, built, printed, story, lane, vocab, evidence, stores, packages)
+_MODULES = (named, built, printed, story, lane, vocab, evidence, stores, packages, recorded)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
