@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, periods, text
+from .tables import first_words
 
 SCHEMA = "metric string, subject string, span string, value double, scale string, period string"
 
@@ -48,11 +49,7 @@ def placed_surfaces(texts: DataFrame, surfaces: DataFrame) -> DataFrame:
 
     texts: id, text (folded, in lower case).
     """
-    word = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
-    words = texts.select("id", "text", F.explode(F.array_distinct(word(F.col("text")))).alias("w"))
-    firsts = surfaces.select("surface", "metric_id", F.get(word(F.lower("surface")), F.lit(0)).alias("w"))
-    at = text.phrase_at(F.col("text"), F.col("surface"))
-    found = words.join(firsts, "w").withColumn("at", at).where("at > 0")
+    found = first_words(texts.select("id", "text"), "text", surfaces).withColumn("at", text.phrase_at(F.col("text"), F.col("surface"))).where("at > 0")
     return found.select("id", "surface", "metric_id", (F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.length("surface")).alias("end"))
 
 

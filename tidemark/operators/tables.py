@@ -100,15 +100,26 @@ def period_columns(grid: DataFrame) -> DataFrame:
     return out.withColumn("k", F.row_number().over(Window.partitionBy("table_id").orderBy("col")))
 
 
+def first_words(rows: DataFrame, column: str, surfaces: DataFrame) -> DataFrame:
+    """rows once for every surface (surface, metric_id) whose first word the text of a column holds.
+
+    A text is cut into words where it lies and met with the one row of all first words, so that it is repeated
+    for the few words that begin a surface and never for its own. The vocabulary is what is broadcast.
+    """
+    word = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
+    begins = surfaces.select("surface", "metric_id", F.get(word(F.lower("surface")), F.lit(0)).alias("_w"))
+    one = begins.agg(F.collect_set("_w").alias("_firsts"))
+    held = rows.crossJoin(F.broadcast(one)).withColumn("_w", F.explode(F.array_intersect(word(F.col(column)), "_firsts"))).drop("_firsts")
+    return held.join(begins, "_w").drop("_w")
+
+
 def label_surfaces(labels: DataFrame, surfaces: DataFrame) -> DataFrame:
     """(label, surface, metric_id) of every surface that stands in a label (normal) as a whole phrase: met by first word, then tested.
 
-    labels: label, normal. A label's words are joined to the surfaces' first words, so that a label meets few surfaces.
+    labels: label, normal (folded, in lower case).
     """
-    word = lambda c: F.filter(F.split(c, "[^a-z0-9]+"), lambda w: w != "")
-    words = labels.select("label", "normal", F.explode(F.array_distinct(word(F.col("normal")))).alias("w"))
-    firsts = surfaces.select("surface", "metric_id", F.get(word(F.lower("surface")), F.lit(0)).alias("w"))
-    return words.join(firsts, "w").where(text.phrase_at(F.col("normal"), F.col("surface")) > 0).select("label", "surface", "metric_id").distinct()
+    met = first_words(labels.select("label", "normal"), "normal", surfaces)
+    return met.where(text.phrase_at(F.col("normal"), F.col("surface")) > 0).select("label", "surface", "metric_id").distinct()
 
 
 def resolve_labels(labels: DataFrame, metrics: DataFrame, surfaces: DataFrame) -> DataFrame:

@@ -415,8 +415,8 @@ SELECT pairs, split_part(r, ' ', 1) AS rule, split_part(r, ' ', 2) AS reason, co
     "series_reversals": f"""WITH {_STEPS} SELECT subject, metric_id, shape, period_key, delta, d1, d2, round(sigma, 4) AS sigma, population, first_key,
 CASE WHEN sign <> 'unverified' THEN CASE WHEN (d2 > 0) = (sign = 'positive') THEN 'increase' ELSE 'decrease' END END AS prior_direction FROM rv""",
     "series_accelerations": f"WITH {_STEPS} SELECT subject, metric_id, shape, period_key, delta, d1, d2, first_key FROM ac",
-    "series_distributions": f"WITH {_STEPS} SELECT subject, metric_id, shape, n, round(mean, 4) AS mean, round(sigma, 4) AS sigma, round(p90, 4) AS p90 FROM ds",
-    "series_divergences": f"""WITH {_GAPS} SELECT subject, left_metric, right_metric, shape, period_key, gap, final AS verdict, round(z, 4) AS z, n, n_excluded, n_unresolved, relation, CASE WHEN mixed THEN 'cohort_vs_period_basis' END AS basis,
+    "series_distributions": f"WITH {_STEPS} SELECT subject, metric_id, shape, n, round(mean, 4) + 0::DOUBLE AS mean, round(sigma, 4) AS sigma, round(p90, 4) AS p90 FROM ds",
+    "series_divergences": f"""WITH {_GAPS} SELECT subject, left_metric, right_metric, shape, period_key, gap + 0::DOUBLE AS gap, final AS verdict, round(z, 4) + 0::DOUBLE AS z, n, n_excluded, n_unresolved, relation, CASE WHEN mixed THEN 'cohort_vs_period_basis' END AS basis,
 CASE WHEN final = 'ok' THEN round(sigma_without, 2) END AS sigma_without FROM dv""",
     "divergence_refusals": f"""WITH {_GAPS} SELECT left_metric, right_metric, split_part(verdict, ' ', 1) AS rule, split_part(verdict, ' ', 2) AS reason, count(*) AS n FROM g0 WHERE verdict <> 'ok' GROUP BY ALL
 UNION ALL SELECT left_metric, right_metric, 'D4', CASE WHEN l.metric_id IS NULL OR r.metric_id IS NULL THEN 'SERIES_ABSENT' ELSE 'SIGN_CONVENTION_MISMATCH' END, 1 FROM pair_dim LEFT JOIN metric_dim l ON l.metric_id = left_metric LEFT JOIN metric_dim r ON r.metric_id = right_metric WHERE l.sign IS DISTINCT FROM r.sign""",
