@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import numbers, periods, text
+from ..sources.shared import cut
 
 # What a period label, a heading and a column of changes look like.
 FISCAL_YEAR = r"(?i)\bFY\s?(\d{2}|\d{4})\b"
@@ -143,10 +144,11 @@ def read_tables(tables: DataFrame, metrics: DataFrame, surfaces: DataFrame) -> t
     scale, label. An issue: table_id, row, col, code. A declared scale in the table goes before one in the
     text ahead; it applies to amounts only, and not to rows its exceptions name.
     """
-    grid = cells(tables)
+    # read by several of the joins below, so written once each
+    grid = cut(cells(tables))
     shape = grid.groupBy("table_id").agg(F.count_distinct(F.when(~F.col("separator"), F.col("row"))).alias("n_rows"), F.max("col").alias("last_col"))
     flat = tables.select("table_id").join(shape, "table_id", "left").where("coalesce(n_rows, 0) < 2 OR coalesce(last_col, 0) < 1").select("table_id")
-    columns = period_columns(grid.join(flat, "table_id", "left_anti"))
+    columns = cut(period_columns(grid.join(flat, "table_id", "left_anti")))
     refused = columns.where("refused").select("table_id")
     bound = columns.where("NOT refused")
     no_period = tables.select("table_id").join(flat, "table_id", "left_anti").join(columns.select("table_id").distinct(), "table_id", "left_anti")
@@ -165,6 +167,7 @@ def read_tables(tables: DataFrame, metrics: DataFrame, surfaces: DataFrame) -> t
     by_row = values.groupBy("table_id", "row").agg(F.sort_array(F.collect_list(F.struct(F.col("col").alias("at"), "number", "cell"))).alias("values"))
     rows = label_at.join(by_row, ["table_id", "row"], "left").join(header.drop("date_row"), "table_id").join(resolve_labels(label_at, metrics, surfaces), "label")
     rows = rows.withColumn("values", F.coalesce("values", F.array().cast("array<struct<at:int,number:double,cell:string>>")))
+    rows = cut(rows)
     known = rows.where("size(metric_ids) = 1").withColumn("metric_id", F.col("metric_ids")[0]).join(metrics.select("metric_id", "unit", "currency", "period_type"), "metric_id")
     code = lambda frame, name: frame.select("table_id", "row", F.lit(None).cast("int").alias("col"), F.lit(name).alias("code"))
     issues = issues.unionByName(code(rows.where("size(metric_ids) > 1"), "AMBIGUOUS_ALIAS")).unionByName(code(rows.where("size(metric_ids) = 0"), "UNRESOLVED_METRIC"))
