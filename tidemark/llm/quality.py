@@ -144,12 +144,14 @@ def _posterior(seen: DataFrame) -> Column:
 def rated(docs: DataFrame) -> DataFrame:
     """docs with ``_q`` (its counts), ``_p``, the posterior probability of being good, and the verdict ``_keep``.
 
-    Other columns stay, whatever their names; columns of these three names are replaced. Texts are counted
-    once: rows and counts are written to the shared folder, where estimates and verdicts read them.
+    Other columns stay, whatever their names; columns of these three names are replaced. It reads the texts
+    twice, once for the estimates: writing rows and counts instead takes the size of the texts on disk. It
+    moves no row. The verdict names the partition, so that a filter on it isn't rewritten into many copies of
+    the counts.
     """
     row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
-    counted = checkpointed(statistics(docs.select(row, "text")).select("_row", "_q"))
-    frame = counted.withColumn("_p", _posterior(counted.select("_q"))).withColumn("_keep", keep())
+    frame = statistics(docs.select(row, "text")).withColumn("_p", _posterior(statistics(docs.select("text")).select("_q")))
+    frame = frame.withColumn("_keep", keep() & (F.spark_partition_id() >= 0))
     others = [F.col(f"_row.`{c}`") for c in docs.columns if c not in ("_q", "_p", "_keep")]
     return frame.select(*others, "_q", "_p", "_keep")
 
