@@ -22,6 +22,7 @@ from __future__ import annotations
 import itertools
 import math
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import numpy as np
@@ -55,6 +56,8 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 #: Rows whose texts or sets are held as Python objects at once, and words a worker remembers: workers live through many stages.
 ROWS, WORDS = 256, 60_000
+#: Rows that Spark hands a worker at once: whole sets of very long texts take some 160 kB each, on both sides of a pair.
+HANDED = 128
 
 
 def _word_numbers() -> Remembered:
@@ -270,8 +273,25 @@ def _between(buckets: DataFrame, signatures: DataFrame, docs: DataFrame, width:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+@contextmanager
+def _handed(docs: DataFrame, rows: int) -> Iterator[None]:
+    """Batches of so many rows for the Python stages that are planned within; the session's setting is put back."""
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = conf.get(name)
+    conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        conf.set(name, before)
+
+
 def grouped(docs: DataFrame, width: int = 5, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per id that is not null."""
+    with _handed(docs, HANDED):  # every Python stage is written within
+        return _grouped(docs, width, percent)
+
+
+def _grouped(docs: DataFrame, width: int, percent: int) -> DataFrame:
     known = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
     each = checkpointed(signed(known, width))
     full = each.where(F.col("set_id").isNotNull())
