@@ -298,12 +298,12 @@ p AS (SELECT *, CASE WHEN a > 0 THEN a WHEN b > 0 THEN b WHEN c > 0 THEN c ELSE
 w AS (SELECT doc_id, text, greatest(spot - 41, 0) AS s, least(spot - 1 + n + 40, length(text)) AS e FROM p)
 SELECT doc_id, CASE WHEN text IS NOT NULL THEN s::INTEGER END AS window_start, e::INTEGER AS window_end, md5(substr(text, s + 1, e - s)) AS window_md5 FROM w""",
     "quoted_spans": """
-SELECT item_id, CASE item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN strpos('before – ' || text || ' — after', substr(text, 11, 30)) - 1 END AS start, CASE item_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS exact,
+SELECT item_id, CASE item_id % 3 WHEN 0 THEN 0 WHEN 1 THEN strpos('before – ' || text || ' — after', substr(text, 11, 30)) - 1 END::INTEGER AS start, CASE item_id % 3 WHEN 0 THEN false WHEN 1 THEN true END AS exact,
        CASE item_id % 3 WHEN 0 THEN 29 WHEN 1 THEN 30 END AS n_chars FROM benchmark WHERE length(text) >= 60""",
     "term_occurrences": """
-SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE len(string_split(lower(text), 'the')) - 1 END AS n, CASE WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') - 1 END AS first_at,
-       CASE WHEN strpos(lower(text), 'the') > 0 THEN length(text) - strpos(reverse(lower(text)), 'eht') - 2 END AS last_at FROM documents""",
+SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE len(string_split(lower(text), 'the')) - 1 END::INTEGER AS n, CASE WHEN strpos(lower(text), 'the') > 0 THEN strpos(lower(text), 'the') - 1 END::INTEGER AS first_at,
+       CASE WHEN strpos(lower(text), 'the') > 0 THEN length(text) - strpos(reverse(lower(text)), 'eht') - 2 END::INTEGER AS last_at FROM documents""",
     "sentence_counts": r"""
 WITH c AS (SELECT doc_id, text, trim(regexp_replace(text, '[\s\x{a0}]+', ' ', 'g')) AS t FROM documents WHERE text IS NOT NULL)
-SELECT doc_id, length(t) AS n_chars, len(regexp_extract_all(t, '[.!?]\s+[A-Z0-9"''(]')) + 1 AS n_sentences, regexp_matches(text, '[a-z][a-z][A-Z][a-z][a-z]') AS glued FROM c""",
+SELECT doc_id, length(t)::INTEGER AS n_chars, (len(regexp_extract_all(t, '[.!?]\s+[A-Z0-9"''(]')) + 1)::INTEGER AS n_sentences, regexp_matches(text, '[a-z][a-z][A-Z][a-z][a-z]') AS glued FROM c""",
 }
