@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.shared import cut as checkpointed
 from ..sources.shared import shared_folder
 
-__all__ = ["checkpointed", "read", "remainder", "shared_folder"]
+__all__ = ["checkpointed", "given_back", "read", "remainder", "shared_folder"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,3 +22,9 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def remainder(key: str, n: int) -> Column:
     """crc32 of a key's decimal text modulo n; null for a null key."""
     return F.crc32(F.col(key).cast("string").cast("binary")) % n
+
+
+def given_back() -> None:
+    """Memory that this process has freed goes back to the system; glibc keeps it otherwise, a driver for the rest of its life."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)

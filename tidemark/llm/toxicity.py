@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Remembered
-from .common import checkpointed
+from .common import checkpointed, given_back
 
 BITS = 18
 #: Labelled documents that training reads at most.
@@ -90,7 +90,10 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[float, np.ndarray]:
     if not taken:
         return fit([])
     kept = one.join(F.broadcast(one.sparkSession.createDataFrame(taken, one.select("doc_id").schema)), "doc_id").collect()
-    return fit([(row["toxic"], np.frombuffer(row["words"], np.int32), np.frombuffer(row["sizes"], np.int32)) for row in kept])
+    model = fit([(row["toxic"], np.frombuffer(row["words"], np.int32), np.frombuffer(row["sizes"], np.int32)) for row in kept])
+    del kept
+    given_back()
+    return model
 
 
 def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarray]:
@@ -101,16 +104,24 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[float, np.ndarr
     y = np.array([r[0] for r in rows], bool)
     n_sentences = np.array([len(r[2]) for r in rows])
     document = np.repeat(np.arange(len(rows)), n_sentences)
-    sentence = np.repeat(np.arange(len(document)), np.concatenate([r[2] for r in rows]))
-    words = np.concatenate([r[1] for r in rows]).astype(np.int64)
-    pairs = np.unique(document[sentence].astype(np.int64) << BITS | words)
-    n = np.bincount(pairs & ((1 << BITS) - 1), minlength=1 << BITS)
-    n_toxic = np.bincount(pairs[y[pairs >> BITS]] & ((1 << BITS) - 1), minlength=1 << BITS)
+    # a document at a time, so that words which get no weight are never held all at once
+    n, n_toxic = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for toxic, row in zip(y, rows):
+        once = np.unique(row[1])
+        n[once] += 1
+        n_toxic[once] += toxic
     expected = n * y.mean()
     strays = np.abs(n_toxic - expected) >= STRAYS * np.sqrt(np.maximum(expected * (1 - y.mean()), 1e-9))
-    held = (strays & (n >= LEAST_DOCUMENTS))[words]
-    words, sentence = words[held], sentence[held]
-    names, words = np.unique(words, return_inverse=True)
+    names = np.flatnonzero(strays & (n >= LEAST_DOCUMENTS))
+    place = np.full(1 << BITS, -1)
+    place[names] = np.arange(len(names))
+    words, sentence, start = [], [], 0
+    for _, found, sizes in rows:
+        at = place[found]
+        words.append(at[at >= 0])
+        sentence.append((start + np.repeat(np.arange(len(sizes)), sizes))[at >= 0])
+        start += len(sizes)
+    words, sentence = np.concatenate(words), np.concatenate(sentence)
     w, bias = np.zeros(len(names)), math.log(max(y.mean(), 1e-3) / n_sentences.mean())
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
     for t in range(1, ROUNDS + 1):
