@@ -1,8 +1,19 @@
 """What only larger tables show, on a few rows."""
 
-from tidemark.operators import parse
+from pyspark.sql import functions as F
+
+from tidemark.operators import graph, parse
 from tidemark.plans import built
 
+# pairs of edges whose digests agree in their first 12 digits
+TWINS = [("obs:2440671", "d:16566#p14"), ("obs:7096693", "d:47323#p7"), ("obs:6307111", "d:42190#p1"), ("obs:2839441", "d:18125#p19")]
+
+
+def test_edge_keys_tell_many_edges_apart(spark):
+    rows = graph.edges(spark.createDataFrame(TWINS, "src string, dst string"), "EVIDENCED_BY", F.col("src"), F.col("dst"), "r")
+    assert rows.select("key").distinct().count() == len(TWINS)
+    assert {len(r["key"]) for r in rows.collect()} == {len("edge:evidenced_by:") + graph.DIGITS}
+
 
 def test_a_reference_without_its_end_stays():
     assert [b[2] for b in parse.page_blocks("<h1>and&&&amp</h1><p>a &amp; b &lt;c&gt; R&D &copy &#65; &#65 &am;</p>")] == ["and&&&amp", "a & b <c> R&D &copy A &#65 &am;"]

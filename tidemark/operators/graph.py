@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import text
 
 PROJECTION = "2.1.0"
+#: Hex digits of an edge key's digest: with 12, some pairs of 36 million edges share a key.
+DIGITS = 32
 
 
 def _props(columns: dict[str, Column]) -> Column:
@@ -30,14 +32,14 @@ def nodes(frame: DataFrame, label: str, key: Column, run: str, marks: Column | N
     )
 
 
-def edge_key(kind: Column, src: Column, dst: Column, *more: Column) -> Column:
-    return F.concat(F.lit("edge:"), F.lower(kind), F.lit(":"), text.digest(kind, src, dst, *more))
+def edge_key(kind: Column, src: Column, dst: Column, *more: Column, digits: int = DIGITS) -> Column:
+    return F.concat(F.lit("edge:"), F.lower(kind), F.lit(":"), text.digest(kind, src, dst, *more, length=digits))
 
 
-def edges(frame: DataFrame, kind: str, src: Column, dst: Column, run: str, more: tuple[Column, ...] = (), /, **props: Column) -> DataFrame:
-    """Edge rows of a frame; `more` are further parts of an edge's identity, such as a role."""
+def edges(frame: DataFrame, kind: str, src: Column, dst: Column, run: str, more: tuple[Column, ...] = (), digits: int = DIGITS, /, **props: Column) -> DataFrame:
+    """Edge rows of a frame; `more` are further parts of an edge's identity, such as a role; `digits`: of the key's digest."""
     return frame.select(
-        F.lit(kind).alias("type"), edge_key(F.lit(kind), src, dst, *more).alias("key"), src.alias("src"), dst.alias("dst"),
+        F.lit(kind).alias("type"), edge_key(F.lit(kind), src, dst, *more, digits=digits).alias("key"), src.alias("src"), dst.alias("dst"),
         F.map_concat(_props(props), F.create_map(F.lit("run_id"), F.lit(run))).alias("props"), F.lit(run).alias("run"),
     )
 

@@ -94,7 +94,7 @@ def graph_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]
     joined = [
         graph.edges(seen, "HAS_OBSERVATION", F.col("metric_id"), F.col("claim_id"), RUN), graph.edges(seen, "OBSERVATION_OF_SUBJECT", F.col("claim_id"), F.col("subject"), RUN),
         graph.edges(cited.join(seen.select("claim_id"), "claim_id", "left_semi"), "EVIDENCED_BY", F.col("claim_id"), F.col("target"), RUN, quote=F.col("quote"), evidence_index=F.col("evidence_index")),
-        graph.edges(happened.where("user_id IS NOT NULL"), "PARTICIPATES_IN", F.concat(F.lit("c:"), F.col("user_id")), event, RUN, (role,), role=role),
+        graph.edges(happened.where("user_id IS NOT NULL"), "PARTICIPATES_IN", F.concat(F.lit("c:"), F.col("user_id")), event, RUN, (role,), 12, role=role),  # the SQL of projected_keys states 12 digits
         graph.edges(happened.where("event_id % 10 = 0"), "PLACEHOLDER_FOR", F.concat(F.lit("unnamed:"), F.col("event_id")), event, RUN),
         graph.edges(used, "PART_OF", F.col("passage_id"), F.substring_index("passage_id", "#p", 1), RUN),
         graph.edges(read(spark, sf_dir, "customer"), "LOCATED_IN", F.concat(F.lit("c:"), F.col("c_custkey")), F.concat(F.lit("n:"), F.col("c_nationkey")), RUN),
