@@ -92,11 +92,12 @@ def filled(template: Column, values: Column) -> Column:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
-    """(id, handle, start, end) of every literal that stands exactly once in its text, by itself (no letter, digit, point or comma with a digit beside it), where no other literal overlaps it.
+    """(id, handle, start, end) of every literal that stands exactly once in its text, by itself (no letter, digit, minus sign, point or comma with a digit beside it), where no other literal overlaps it.
 
     rows: id, text, handle, literal. Overlap is told by the furthest end seen before, not by pairs.
     """
-    quoted = F.concat(F.lit(r"(?<![\w.,])\Q"), F.col("literal"), F.lit(r"\E(?!\w|[.,]\d)"))
+    # a hyphen behind a word isn't a sign
+    quoted = F.concat(F.lit(r"(?<![\w.,])(?<!(?<!\w)-)\Q"), F.col("literal"), F.lit(r"\E(?!\w|[.,]\d)"))
     found = rows.where("length(literal) > 0").withColumn("n", F.regexp_count("text", quoted)).where("n = 1").withColumn("start", F.regexp_instr("text", quoted) - 1)
     spans = found.select("id", "handle", "start", (F.col("start") + F.length("literal")).alias("end"))
     along = Window.partitionBy("id").orderBy("start", "end", "handle")
