@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.shared import cut as checkpointed
 from ..sources.shared import shared_folder
 
-__all__ = ["checkpointed", "given_back", "read", "remainder", "shared_folder"]
+__all__ = ["checkpointed", "given_back", "read", "tidied", "remainder", "shared_folder"]
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,3 +29,13 @@ def given_back() -> None:
     """Memory that this process has freed goes back to the system; glibc keeps it otherwise, a driver for the rest of its life."""
     with contextlib.suppress(OSError, AttributeError):
         ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run over batches, after which the worker gives its freed memory back: workers live through many stages."""
+
+    def through(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        given_back()
+
+    return through

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import Remembered
-from .common import checkpointed
+from .common import checkpointed, tidied
 
 CHUNKS, SYMBOLS, ERRORS = 9, 6, 1
 #: Differing places beyond which two signatures are not compared in full (4.5 standard errors above the mean at 0.8).
@@ -110,7 +110,7 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "set_id", "signature"])
 
     kept = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return kept.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, signature binary")
+    return kept.mapInArrow(tidied(run), "doc_id long, n_shingles long, set_id binary, signature binary")
 
 
 def _chunk_keys(symbols: np.ndarray, number: int) -> np.ndarray:
@@ -177,7 +177,7 @@ def sets_of(ids: DataFrame, docs: DataFrame, width: int, make: Callable[[np.ndar
             yield pa.RecordBatch.from_arrays([held.column(0), pa.array(sets, pa.binary())], ["id", "set"])
 
     spots = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("id"), "text")
-    return spots.select("id", "text", F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)).mapInArrow(needed, "id long, set binary")
+    return spots.select("id", "text", F.bitmap_bucket_number(spot), F.bitmap_bit_position(spot)).mapInArrow(tidied(needed), "id long, set binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -195,7 +195,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
                 hit.append(fits and 100 * common >= percent * (len(x) + len(y) - common))
             yield batch.select(["a", "b"]).filter(pa.array(hit, pa.bool_()))
 
-    return both.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "set_a", "set_b").mapInArrow(tidied(check), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:

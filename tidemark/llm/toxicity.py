@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .bpe import Remembered
-from .common import checkpointed, given_back
+from .common import checkpointed, given_back, tidied
 
 BITS = 18
 #: Labelled documents that training reads at most.
@@ -176,4 +176,4 @@ def score(docs: DataFrame, model: tuple[float, np.ndarray]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, k) for c, k in zip(columns, kinds))], names)
 
     kinds = (T.DoubleType(), T.IntegerType(), T.LongType(), T.LongType(), T.DoubleType())
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *map(T.StructField, names[-5:], kinds)]))
+    return docs.mapInArrow(tidied(run), T.StructType([*docs.schema.fields, *map(T.StructField, names[-5:], kinds)]))
