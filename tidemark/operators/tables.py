@@ -21,6 +21,8 @@ SEPARATOR = r"^\s*\|?[\s:|-]*-{2,}[\s:|-]*\|?\s*$"
 _MONTHS = "|".join(periods.MONTHS)
 MONTH_DAY = rf"(?i)\b({_MONTHS})\s+\d{{1,2}}\b"
 DAY_HEADING = rf"(?i)^({_MONTHS})\s+\d{{1,2}},?$"
+#: Distinct labels that are broadcast at most; more are joined.
+BROADCAST_LABELS = 100_000
 
 
 def cells(tables: DataFrame) -> DataFrame:
@@ -41,11 +43,21 @@ def addressed(grid: DataFrame) -> DataFrame:
 
 
 def looks_like_period(label: Column) -> Column:
-    return label.rlike(periods.FULL_DATE) | label.rlike(BARE_YEAR) | label.rlike(periods.SHORTHAND) | label.rlike(FISCAL_YEAR) | label.rlike(periods.DURATION)
+    # most cells are plain numbers or words: all but a bare year have letters, all but a duration have digits
+    dated = label.rlike("[0-9]") & (label.rlike(periods.FULL_DATE) | label.rlike(periods.SHORTHAND) | label.rlike(FISCAL_YEAR))
+    return label.rlike(BARE_YEAR) | (label.rlike("[A-Za-z]") & (dated | label.rlike(periods.DURATION)))
 
 
-def period_columns(grid: DataFrame) -> DataFrame:
-    """(table_id, date_row, col, label, heading, change, refused, period, k) of every header cell that is bound; refused tables have one row without a column.
+def gridded(tables: DataFrame) -> DataFrame:
+    """tables with `grid`: the trimmed cells of each line that isn't blank; a separator has none."""
+    lines = F.filter(F.split("text", "\r?\n"), lambda line: F.trim(line) != "")
+    inner = lambda line: F.regexp_replace(F.regexp_replace(F.trim(line), r"^\|", ""), r"\|$", "")
+    parts = lambda line: F.when(line.rlike(SEPARATOR), F.array().cast("array<string>")).otherwise(F.transform(F.split(inner(line), r"\|"), lambda c: F.trim(c)))
+    return tables.withColumn("grid", F.coalesce(F.transform(lines, parts), F.array().cast("array<array<string>>")))
+
+
+def period_columns(tables: DataFrame) -> DataFrame:
+    """Tables with a grid, and date_row, n_dated, rule and columns: (k, change, col, period) of every header cell that is bound; a table without a rule is refused.
 
     The row of dates is the first with three labels of periods, else the last with two. Headings above it go
     to the dates by the first of three rules that fits: one heading without a day and one with go to full
@@ -53,18 +65,18 @@ def period_columns(grid: DataFrame) -> DataFrame:
     labels repeat; else by the column where each heading starts, if that is a date's column and no heading is
     left over. If none fits, the table is refused.
     """
-    full = grid.where("NOT separator AND cell <> ''")
-    dated = full.groupBy("table_id", "row").agg(F.count_if(looks_like_period(F.col("cell"))).alias("n")).where("n >= 2")
-    date_row = dated.groupBy("table_id").agg(F.coalesce(F.min(F.when(F.col("n") >= 3, F.col("row"))), F.max("row")).alias("date_row"))
-    known = full.join(date_row, "table_id")
-    heading = (F.col("row") < F.col("date_row")) & (F.col("cell").rlike(periods.DURATION) | F.col("cell").rlike(DAY_HEADING))
-    span = F.struct("row", F.col("col").alias("start"), F.col("cell").alias("phrase"))
-    change = F.col("cell").rlike(CHANGE)
-    label = F.struct("col", F.col("cell").alias("label"), change.alias("change"))
-    header = known.groupBy("table_id", "date_row").agg(
-        F.sort_array(F.collect_list(F.when(heading, span))).alias("spans"),
-        F.sort_array(F.collect_list(F.when((F.col("row") == F.col("date_row")) & (looks_like_period(F.col("cell")) | change), label))).alias("labels"),
-    )
+    counts = F.transform("grid", lambda cells: F.size(F.filter(cells, lambda c: (c != "") & looks_like_period(c))))
+    known = tables.withColumn("n_dated", counts)
+    at_least = lambda n: F.transform("n_dated", lambda found, row: F.when(found >= n, row))
+    known = known.withColumn("date_row", F.coalesce(F.array_min(at_least(3)), F.array_max(at_least(2))))
+    placed = lambda cells, row: F.transform(cells, lambda c, col: F.struct(row.alias("row"), col.alias("start"), c.alias("phrase")))
+    heads = F.flatten(F.transform(F.slice("grid", F.lit(1), F.coalesce("date_row", F.lit(0))), placed))
+    dated = F.coalesce(F.get("grid", F.col("date_row")), F.array().cast("array<string>"))
+    labels = F.transform(dated, lambda c, col: F.struct(col.alias("col"), c.alias("label"), c.rlike(CHANGE).alias("change")))
+    header = known.withColumns({
+        "spans": F.filter(heads, lambda s: (s["phrase"] != "") & (s["phrase"].rlike(periods.DURATION) | s["phrase"].rlike(DAY_HEADING))),
+        "labels": F.filter(labels, lambda c: (c["label"] != "") & (c["change"] | looks_like_period(c["label"]))),
+    })
     header = header.withColumn("dates", F.filter("labels", lambda c: ~c["change"])).withColumn("phrases", F.transform("spans", lambda s: s["phrase"]))
     is_full = lambda c: c["label"].rlike(periods.FULL_DATE)
     is_year = lambda c: c["label"].rlike(BARE_YEAR)
@@ -86,19 +98,24 @@ def period_columns(grid: DataFrame) -> DataFrame:
         & (F.size(F.array_distinct(F.transform("governed", lambda g: g["phrase"]))) == F.col("n_spans"))
     )
     header = header.withColumn("rule", F.when(F.col("n_spans") == 0, 0).when(first, 1).when(even, 2).when(fits, 3))
-    listed = header.select("table_id", "date_row", "rule", "bare", "dayed", "phrases", "governed", "n_dates", "n_spans", "dates", F.explode_outer(F.when(F.col("rule").isNotNull(), F.col("labels"))).alias("c"))
-    at = F.size(F.filter("dates", lambda d: d["col"] < F.col("c.col")))
-    heading_of = (
-        F.when(F.col("rule") == 1, F.when(F.col("c.label").rlike(periods.FULL_DATE), F.col("bare")[0]).otherwise(F.col("dayed")[0]))
-        .when(F.col("rule") == 2, F.get("phrases", F.floor(at / (F.col("n_dates") / F.col("n_spans"))).cast("int"))).when(F.col("rule") == 3, F.get("governed", at)["phrase"]).otherwise("")
-    )
-    out = listed.select("table_id", "date_row", F.col("c.col").alias("col"), F.col("c.label").alias("label"), F.when(F.col("c.change"), "").otherwise(F.coalesce(heading_of, F.lit(""))).alias("heading"), F.coalesce("c.change", F.lit(False)).alias("change"), F.col("rule").isNull().alias("refused"))
-    year = F.regexp_extract("label", FISCAL_YEAR, 1)
-    whole = F.when(F.length(year) == 4, year.try_cast("int")).otherwise(2000 + year.try_cast("int"))
-    fiscal = F.struct(periods.made_date(whole, F.lit(1), F.lit(1)).alias("start"), periods.made_date(whole, F.lit(12), F.lit(31)).alias("end"), F.lit(None).cast("date").alias("instant"))
-    period = F.when(F.col("label").rlike(FISCAL_YEAR) & ~F.col("label").rlike(periods.FULL_DATE), fiscal).otherwise(periods.resolve(F.col("label"), F.col("heading"), F.lit("")))
-    out = out.withColumn("period", F.when(~F.col("change"), period)).where("refused OR change OR period IS NOT NULL")
-    return out.withColumn("k", F.row_number().over(Window.partitionBy("table_id").orderBy("col")))
+
+    def heading_of(c: Column) -> Column:
+        at = F.size(F.filter("dates", lambda d: d["col"] < c["col"]))
+        return (
+            F.when(F.col("rule") == 1, F.when(c["label"].rlike(periods.FULL_DATE), F.get("bare", F.lit(0))).otherwise(F.get("dayed", F.lit(0))))
+            .when(F.col("rule") == 2, F.get("phrases", F.floor(at / (F.col("n_dates") / F.col("n_spans"))).cast("int"))).when(F.col("rule") == 3, F.get("governed", at)["phrase"]).otherwise("")
+        )
+
+    def period_of(c: Column) -> Column:
+        year = F.regexp_extract(c["label"], FISCAL_YEAR, 1)
+        whole = F.when(F.length(year) == 4, year.try_cast("int")).otherwise(2000 + year.try_cast("int"))
+        fiscal = F.struct(periods.made_date(whole, F.lit(1), F.lit(1)).alias("start"), periods.made_date(whole, F.lit(12), F.lit(31)).alias("end"), F.lit(None).cast("date").alias("instant"))
+        resolved = periods.resolve(c["label"], F.coalesce(heading_of(c), F.lit("")), F.lit(""))
+        return F.when(c["label"].rlike(FISCAL_YEAR) & ~c["label"].rlike(periods.FULL_DATE), fiscal).otherwise(resolved)
+
+    read = F.filter(F.transform("labels", lambda c: F.struct(c["change"].alias("change"), c["col"].alias("col"), F.when(~c["change"], period_of(c)).alias("period"))), lambda c: c["change"] | c["period"].isNotNull())
+    numbered = F.transform(read, lambda c, k: F.struct((k + 1).alias("k"), c["change"].alias("change"), c["col"].alias("col"), c["period"].alias("period")))
+    return header.withColumn("columns", F.when(F.col("rule").isNotNull() & F.col("date_row").isNotNull(), numbered)).select(*tables.columns, "date_row", "rule", "columns")
 
 
 def first_words(rows: DataFrame, column: str, surfaces: DataFrame) -> DataFrame:
@@ -138,61 +155,70 @@ def resolve_labels(labels: DataFrame, metrics: DataFrame, surfaces: DataFrame) -
 
 
 def read_tables(tables: DataFrame, metrics: DataFrame, surfaces: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Claims and issues of tables (table_id, text, preceding).
+    """Claims and issues of tables (table_id, text, preceding), one a row.
+
+    A claim: table_id, row, col, metric_id, period (start, end, instant), value, unit, currency, scale, source
+    of the scale, label, period_key. An issue: table_id, row, col, code. A declared scale in the table goes
+    before one in the text ahead; it applies to amounts only, and not to rows its exceptions name.
 
-    A claim: table_id, row, col, metric_id, period (start, end, instant), value, unit, scale, source of the
-    scale, label. An issue: table_id, row, col, code. A declared scale in the table goes before one in the
-    text ahead; it applies to amounts only, and not to rows its exceptions name.
+    A table is read within its row, and a line of it within its own, so nothing but distinct labels moves.
+    Arrays are exploded as outer ones: of others the optimizer works out their whole making once more, in a filter.
     """
-    # read by several of the joins below, so written once each
-    grid = cut(cells(tables))
-    shape = grid.groupBy("table_id").agg(F.count_distinct(F.when(~F.col("separator"), F.col("row"))).alias("n_rows"), F.max("col").alias("last_col"))
-    flat = tables.select("table_id").join(shape, "table_id", "left").where("coalesce(n_rows, 0) < 2 OR coalesce(last_col, 0) < 1").select("table_id")
-    columns = cut(period_columns(grid.join(flat, "table_id", "left_anti")))
-    refused = columns.where("refused").select("table_id")
-    bound = columns.where("NOT refused")
-    no_period = tables.select("table_id").join(flat, "table_id", "left_anti").join(columns.select("table_id").distinct(), "table_id", "left_anti")
-    issue = lambda rows, code: rows.select("table_id", F.lit(None).cast("int").alias("row"), F.lit(None).cast("int").alias("col"), F.lit(code).alias("code"))
-    issues = issue(flat, "UNSUPPORTED_TABLE_SHAPE").unionByName(issue(refused, "AMBIGUOUS_COLUMN_ALIGNMENT")).unionByName(issue(no_period, "MISSING_PERIOD"))
-
-    declared = grid.where("NOT separator").withColumn("s", numbers.scale_declaration(F.col("cell"))).where("s IS NOT NULL").groupBy("table_id").agg(F.min_by("s", F.struct("row", "col")).alias("local"))
-    scales = tables.select("table_id", numbers.scale_declaration(F.col("preceding")).alias("ahead")).join(declared, "table_id", "left")
-    scales = scales.select("table_id", F.coalesce("local", "ahead").alias("declared"), F.when(F.col("local").isNotNull(), "table_header").when(F.col("ahead").isNotNull(), "preceding_context").otherwise("metric_default").alias("scale_source"))
-
-    header = bound.groupBy("table_id", "date_row").agg(F.sort_array(F.collect_list(F.struct("k", "change", "col", "period"))).alias("columns"), F.count_if(~F.col("change")).alias("n_reporting"))
-    body = grid.join(header.select("table_id", "date_row"), "table_id").where("row > date_row AND NOT separator AND cell <> ''")
-    label_at = body.groupBy("table_id", "row").agg(F.min("col").alias("label_col"), F.min_by("cell", "col").alias("label"))
-    values = body.join(label_at.select("table_id", "row", "label_col"), ["table_id", "row"]).where("col > label_col")
-    values = values.withColumn("number", numbers.magnitude(F.col("cell"))).where(numbers.is_nil(F.col("cell")) | F.col("number").isNotNull())
-    by_row = values.groupBy("table_id", "row").agg(F.sort_array(F.collect_list(F.struct(F.col("col").alias("at"), "number", "cell"))).alias("values"))
-    rows = label_at.join(by_row, ["table_id", "row"], "left").join(header.drop("date_row"), "table_id").join(resolve_labels(label_at, metrics, surfaces), "label")
-    rows = rows.withColumn("values", F.coalesce("values", F.array().cast("array<struct<at:int,number:double,cell:string>>")))
-    rows = cut(rows)
-    known = rows.where("size(metric_ids) = 1").withColumn("metric_id", F.col("metric_ids")[0]).join(metrics.select("metric_id", "unit", "currency", "period_type"), "metric_id")
-    code = lambda frame, name: frame.select("table_id", "row", F.lit(None).cast("int").alias("col"), F.lit(name).alias("code"))
-    issues = issues.unionByName(code(rows.where("size(metric_ids) > 1"), "AMBIGUOUS_ALIAS")).unionByName(code(rows.where("size(metric_ids) = 0"), "UNRESOLVED_METRIC"))
+    grids = gridded(tables.select("table_id", "text", "preceding"))
+    # a label is the first cell of a line that holds anything; those of headers are resolved as well, and not used
+    held = lambda cells: F.filter(F.transform(cells, lambda c, col: F.struct(col.alias("at"), c.alias("cell"))), lambda x: x["cell"] != "")
+    first = F.get(F.filter("line", lambda c: c != ""), F.lit(0))
+    said = grids.select(F.explode_outer("grid").alias("line")).select(first.alias("label")).where("label IS NOT NULL").distinct()
+    kinds = metrics.select("metric_id", "unit", "currency", "period_type", F.lit(True).alias("listed"))
+    names = resolve_labels(cut(said), metrics, surfaces).withColumn("metric_id", F.when(F.size("metric_ids") == 1, F.get("metric_ids", F.lit(0))))
+    names = cut(names.join(F.broadcast(kinds), "metric_id", "left").select("label", "metric_ids", "metric_id", "unit", "currency", "period_type", "listed"))
+    if names.count() <= BROADCAST_LABELS:
+        names = F.broadcast(names)
+
+    header = period_columns(grids)
+    n_rows, last_col = F.size(F.filter("grid", lambda cells: F.size(cells) > 0)), F.array_max(F.transform("grid", lambda cells: F.size(cells) - 1))
+    flat = (n_rows < 2) | (F.coalesce(last_col, F.lit(0)) < 1)
+    no_period = F.col("date_row").isNull() | (F.col("rule").isNotNull() & (F.size("columns") == 0))
+    refused = F.when(flat, "UNSUPPORTED_TABLE_SHAPE").when(no_period, "MISSING_PERIOD").when(F.col("rule").isNull(), "AMBIGUOUS_COLUMN_ALIGNMENT")
+    # a cell that declares a scale declares it in the whole text, too
+    local = F.get(F.filter(F.transform(F.flatten("grid"), numbers.scale_declaration), lambda s: s.isNotNull()), F.lit(0))
+    local = F.when(numbers.scale_declaration(F.col("text")).isNotNull(), local)
+    header = header.select("table_id", "grid", "date_row", "columns", refused.alias("refused"), local.alias("local"), numbers.scale_declaration(F.col("preceding")).alias("ahead"))
+    source = F.when(F.col("local").isNotNull(), "table_header").when(F.col("ahead").isNotNull(), "preceding_context").otherwise("metric_default")
+    header = header.select("table_id", "date_row", "columns", "refused", F.coalesce("local", "ahead").alias("declared"), source.alias("scale_source"), F.posexplode_outer(F.when(F.col("refused").isNull(), F.col("grid"))).alias("row", "line"))
+
+    rows = header.withColumn("held", held(F.col("line"))).where("refused IS NOT NULL OR (row > date_row AND size(held) > 0)")
+    rows = rows.withColumn("label", F.get("held", F.lit(0))["cell"]).join(names, "label", "left")
+    values = F.transform(F.slice("held", F.lit(2), F.greatest(F.size("held") - 1, F.lit(0))), lambda x: F.struct(x["at"].alias("at"), numbers.magnitude(x["cell"]).alias("number"), x["cell"].alias("cell")))
+    rows = rows.withColumn("values", F.filter(values, lambda v: v["number"].isNotNull() | numbers.is_nil(v["cell"])))
     reporting = F.filter("columns", lambda c: ~c["change"])
-    aligned = F.when(F.size("values") == F.size("columns"), F.col("columns")).when(F.size("values") == F.col("n_reporting"), reporting)
-    known = known.withColumn("aligned", aligned)
-    issues = issues.unionByName(code(known.where("aligned IS NULL"), "AMBIGUOUS_COLUMN_ALIGNMENT"))
-
-    pairs = known.where("aligned IS NOT NULL").withColumn("pair", F.explode(F.arrays_zip("values", "aligned"))).join(scales, "table_id")
-    pairs = pairs.select("table_id", "row", "label", "metric_id", "unit", "currency", "period_type", "declared", "scale_source", F.col("pair.values").alias("v"), F.col("pair.aligned").alias("c"))
-    at = lambda frame, name: frame.select("table_id", "row", F.col("c.col").alias("col"), F.lit(name).alias("code"))
-    issues = issues.unionByName(at(pairs.where("c.change"), "DERIVED_CHANGE_COLUMN"))
+    aligned = F.when(F.size("values") == F.size("columns"), F.col("columns")).when(F.size("values") == F.size(reporting), reporting)
+    rows = rows.withColumn("aligned", F.when(F.col("listed"), aligned)).withColumn("pairs", F.zip_with("values", "aligned", lambda v, c: F.struct(v.alias("v"), c.alias("c"))))
+
     none = F.lit(None).cast("date")
     stock = periods.is_instant_label(F.col("label"))
-    period = F.when(stock, F.struct(none.alias("start"), none.alias("end"), F.coalesce("c.period.instant", "c.period.end").alias("instant"))).otherwise(F.col("c.period"))
-    read = pairs.where("NOT c.change AND v.number IS NOT NULL").withColumn("period", period)
-    mismatch = (F.col("period_type") == "instant") != F.col("period.instant").isNotNull()
-    issues = issues.unionByName(at(read.where(mismatch), "PERIOD_TYPE_MISMATCH"))
+    period = lambda c: F.when(stock, F.struct(none.alias("start"), none.alias("end"), F.coalesce(c["period"]["instant"], c["period"]["end"]).alias("instant"))).otherwise(c["period"])
+    mismatch = lambda x: (F.col("period_type") == "instant") != x["period"]["instant"].isNotNull()
     exempt = numbers.scale_excludes(F.col("declared.exceptions"), F.col("label"))
     scale = F.when(F.col("declared").isNotNull(), F.when((F.col("unit") == "USD") & ~exempt, F.col("declared.scale")).otherwise("units"))
-    claims = read.where(~mismatch).select(
-        "table_id", "row", F.col("c.col").alias("col"), "metric_id", "period", (F.col("v.number") * numbers.scale_factor(scale)).alias("value"), "unit", "currency", scale.alias("scale"), "scale_source", "label",
-        periods.key(F.col("period.start"), F.col("period.end"), F.col("period.instant")).alias("period_key"),
-    )
-    same = Window.partitionBy("table_id", "row", "metric_id", "period_key")
-    claims = claims.withColumn("apart", F.min("value").over(same) != F.max("value").over(same))
-    torn = claims.where("apart").groupBy("table_id", "row", "metric_id", "period_key").agg(F.min("col").alias("col")).select("table_id", "row", "col", F.lit("AMBIGUOUS_COLUMN_ALIGNMENT").alias("code"))
-    return claims.where("NOT apart").drop("apart"), issues.unionByName(torn)
+    rows = rows.withColumn("scale", scale).withColumn("read", F.transform(F.filter("pairs", lambda p: ~p["c"]["change"] & p["v"]["number"].isNotNull()), lambda p: F.struct(p["c"]["col"].alias("col"), period(p["c"]).alias("period"), p["v"]["number"].alias("number"))))
+    key = lambda p: periods.key(p["start"], p["end"], p["instant"])
+    made = lambda x: F.struct(x["col"].alias("col"), x["period"].alias("period"), (x["number"] * numbers.scale_factor(F.col("scale"))).alias("value"), key(x["period"]).alias("period_key"))
+    rows = rows.withColumn("claims", F.transform(F.filter("read", lambda x: ~mismatch(x)), made))
+    apart = lambda x: F.exists("claims", lambda y: y["period_key"].eqNullSafe(x["period_key"]) & (y["value"] != x["value"]))
+    earlier = lambda x: F.exists("claims", lambda y: y["period_key"].eqNullSafe(x["period_key"]) & (y["col"] < x["col"]))
+    claims = rows.select("table_id", "row", "metric_id", "unit", "currency", "scale", "scale_source", "label", F.explode_outer(F.filter("claims", lambda x: ~apart(x))).alias("x")).where("x IS NOT NULL")
+    claims = claims.select("table_id", "row", "x.col", "metric_id", "x.period", "x.value", "unit", "currency", "scale", "scale_source", "label", "x.period_key")
+
+    issue = lambda col, code: F.struct(col.cast("int").alias("col"), F.lit(code).alias("code") if isinstance(code, str) else code.alias("code"))
+    whole = lambda condition, code: F.when(condition, F.array(issue(F.lit(None), code)))
+    at = lambda found, code: F.transform(found, lambda x: issue(x["col"], code))
+    several = [
+        whole(F.col("refused").isNotNull(), F.col("refused")), whole(F.size("metric_ids") > 1, "AMBIGUOUS_ALIAS"), whole(F.size("metric_ids") == 0, "UNRESOLVED_METRIC"),
+        whole(F.col("listed") & F.col("aligned").isNull() & F.col("refused").isNull(), "AMBIGUOUS_COLUMN_ALIGNMENT"),
+        at(F.transform(F.filter("pairs", lambda p: p["c"]["change"]), lambda p: p["c"]), "DERIVED_CHANGE_COLUMN"), at(F.filter("read", mismatch), "PERIOD_TYPE_MISMATCH"),
+        at(F.filter("claims", lambda x: apart(x) & ~earlier(x)), "AMBIGUOUS_COLUMN_ALIGNMENT"),
+    ]
+    none_at = F.array().cast("array<struct<col:int,code:string>>")
+    found = rows.select("table_id", "row", F.explode_outer(F.concat(*(F.coalesce(one, none_at) for one in several))).alias("x")).where("x IS NOT NULL")
+    return claims, found.select("table_id", "row", "x.col", "x.code")
