@@ -36,21 +36,22 @@ def printed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = [4, 4, 3, 2, 3, 4, 2]
     pick = lambda options: F.coalesce(*(F.when(F.col("kind") == i, o) for i, o in enumerate(options)))
 
-    def body(i: int, label: str, n: int, dollars: bool, change: bool) -> F.Column:
-        def cell(j: int):
-            number = F.format_number(F.col("v") + 100 * i + 7 * j, 0)
+    def body(i: int, label: str):
+        def cell(j):
+            value = F.col("v") + 100 * i + 7 * j
+            number = F.format_number(value, 0)
             if i == 0:
                 number = F.when(F.col("c_acctbal") < 0, F.concat(F.lit("("), number, F.lit(")"))).otherwise(number)
             if i == 1:
-                return F.concat(((F.col("v") + 100 * i + 7 * j) % 90).cast("string"), F.lit(".5 | %"))
-            return F.lit("—") if i == 8 else F.concat(F.lit("$ | "), number) if dollars else number
+                return F.concat((value % 90).cast("string"), F.lit(".5 | %"))
+            return F.lit("—") if i == 8 else F.when(F.col("kind") == 3, F.concat(F.lit("$ | "), number)).otherwise(number)
 
-        n = n - 1 if change and i == 2 else n - 1 if i == 9 else n
-        return line(label, *(cell(j) for j in range(n)))
+        # a column less for the changes of kind 2 in one row, and in the last row for every kind
+        n = F.col("n") - F.when(F.col("kind") == 2, 1).otherwise(0) if i == 2 else F.col("n") - 1 if i == 9 else F.col("n")
+        return line(label, F.transform(F.sequence(F.lit(0), n - 1), cell))
 
-    lines = []
-    for i, label in enumerate(_LABELS):
-        lines.append(pick([body(i, label, n, k == 3, k == 2) for k, n in enumerate(columns)]))
+    lines = [body(i, label) for i, label in enumerate(_LABELS)]
+    rows = rows.withColumn("n", F.get(F.array(*map(F.lit, columns)), F.col("kind").cast("int")))
     declared = F.when(F.col("kind").isin(0, 3), line("(In thousands, except percentages and net revenue per share)"))
     text_ = F.concat_ws("\n", declared, pick([h for h, _ in heads]), pick([d for _, d in heads]), F.lit("| --- | --- |"), *lines)
     flat = F.when(F.col("c_custkey") % 50 == 49, F.lit("| only | one row |")).when(F.col("c_custkey") % 50 == 48, F.lit("| a | b |\n| c | d |\n| Net revenue | 5 |")).otherwise(text_)
