@@ -17,6 +17,7 @@ tokenizer's pattern as a whole.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
 from array import array
@@ -263,6 +264,13 @@ def encoder(path: str, kind: type[Cutter] = Encoder) -> Cutter:
     return _ENCODERS[kind, path]
 
 
+def forget() -> None:
+    """This process's encoders go; whoever asks for one again makes it anew."""
+    if _ENCODERS:
+        _ENCODERS.clear()
+        gc.collect()  # their tables refer back to them
+
+
 def with_ids(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(key, ids binary): the ids of every whole text, packed as little-endian unsigned 32-bit integers.
 

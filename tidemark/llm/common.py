@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import cut as checkpointed
 from ..sources.shared import shared_folder
+from .bpe import forget
 
 __all__ = ["checkpointed", "given_back", "read", "tidied", "remainder", "shared_folder"]
 
@@ -31,10 +32,16 @@ def given_back() -> None:
         ctypes.CDLL(None).malloc_trim(0)
 
 
-def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
-    """run over batches, after which the worker gives its freed memory back: workers live through many stages."""
+def tidied(run: Callable[[Iterator], Iterator], encodes: bool = False) -> Callable[[Iterator], Iterator]:
+    """run over batches, after which the worker gives its freed memory back: workers live through many stages.
+
+    Encoders that an earlier stage has left (135 MB a worker after packing) go first, unless this stage encodes.
+    """
 
     def through(batches: Iterator) -> Iterator:
+        if not encodes:
+            forget()
+            given_back()
         yield from run(batches)
         given_back()
 

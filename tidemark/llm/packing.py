@@ -23,8 +23,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import RankMerger, encoder
-from .common import checkpointed, tidied
+from .bpe import RankMerger, encoder, forget
+from .common import checkpointed, given_back, tidied
 
 LENGTH = 1024
 END = 2
@@ -55,7 +55,7 @@ def pieces(docs: DataFrame, path: str, length: int = LENGTH, end: int = END) ->
             kinds = [batch.column(0).type, pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return kept.mapInArrow(tidied(run), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
+    return kept.mapInArrow(tidied(run, encodes=True), f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit(bins: list[list[int]], sizes: list[int], items: list[int], length: int) -> None:
@@ -160,6 +160,8 @@ def packed_blocks(numbered: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def epoch(number: int):
         def run(key: tuple[int, ...], table: pd.DataFrame) -> pd.DataFrame:
+            forget()
+            given_back()
             block, island = int(key[0]), int(key[1])
             sizes, first = _chromosomes(table)
             names = np.sort(table["item"].unique())
