@@ -29,7 +29,9 @@ from .common import checkpointed, given_back, tidied
 LENGTH = 1024
 END = 2
 BLOCK = 4000
-ISLANDS, EPOCHS, GENERATIONS, POPULATION = 3, 2, 4, 4
+ISLANDS, EPOCHS, POPULATION = 3, 2, 4
+#: An epoch ends after so many generations in succession without a fitter chromosome.
+PATIENCE = 24
 #: Bins with more free room than this are dissolved and packed once more.
 SLACK = 8
 
@@ -109,7 +111,7 @@ def crossed(mother: list[list[int]], father: list[list[int]], sizes: list[int],
 
 
 def evolve(sizes: list[int], first: list[list[list[int]]], length: int, seed: int) -> list[list[list[int]]]:
-    """The population, fittest first, after some generations; it ends early once the bins can't be fewer."""
+    """The population, fittest first, once PATIENCE generations brought nothing fitter or the bins can't be fewer."""
     chance = random.Random(seed)
     least = -(-sum(sizes) // length)
     population = [[list(held) for held in one] for one in first]
@@ -125,14 +127,13 @@ def evolve(sizes: list[int], first: list[list[list[int]]], length: int, seed: in
         if len(one) <= least:
             break
     rated = sorted(((fitness(one, sizes, length), at, one) for at, one in enumerate(population)), key=lambda x: x[:2])
-    made = len(rated)
-    for _ in range(GENERATIONS if len(rated) > 1 else 0):
-        if rated[0][0][0] <= least:
-            break
+    made, idle = len(rated), 0
+    while len(rated) > 1 and idle < PATIENCE and rated[0][0][0] > least:
         mother, father = chance.sample(rated[: max(2, len(rated) // 2 + 1)], 2)
         child = crossed(mother[2], father[2], sizes, length, chance)
+        best = rated[0][0]
         rated = sorted([*rated, (fitness(child, sizes, length), made, child)], key=lambda x: x[:2])[:POPULATION]
-        made += 1
+        made, idle = made + 1, 0 if rated[0][0] < best else idle + 1
     return [one for _, _, one in rated]
 
 
